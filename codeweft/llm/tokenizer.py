@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,14 +14,16 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-@lru_cache(maxsize=4)
 def encoding(vocabulary: str):
-    """The tokenizer of a ``.tiktoken`` rank file; loaded once a worker."""
+    """The tokenizer of a ``.tiktoken`` rank file; loaded once a worker process."""
     import tiktoken
 
-    with open(vocabulary, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    loaded = tiktoken.__dict__.setdefault("_loaded_by_path", {})
+    if vocabulary not in loaded:
+        with open(vocabulary, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        loaded[vocabulary] = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return loaded[vocabulary]
 
 
 def n_tokens(text: Column, vocabulary: str = DEFAULT_VOCABULARY) -> Column:
