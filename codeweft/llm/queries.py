@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm import cooccur, handwritten, leakage, mixing, residue
+from codeweft.llm import cooccur, handwritten, leakage, mixing, residue, syntax
 from codeweft.tables import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files that aren't valid syntax."""
+    return syntax.parse_status(table(spark, sf_dir, "source_files")).select("file_id")
+
+
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate of broken files by repository and language."""
+    files = table(spark, sf_dir, "source_files")
+    return syntax.broken_rates(files, syntax.parse_status(files))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source files nobody of the project wrote by hand."""
     return handwritten.not_handwritten(table(spark, sf_dir, "source_files")).select("file_id")
@@ -69,7 +80,7 @@ def p8_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p3_found, p3_rules, p5_found, p5_ranked, p6_found, p6_report, p7_mix, p7_report, p8_found, p8_kinds)
+    own = (p2_found, p2_rates, p3_found, p3_rules, p5_found, p5_ranked, p6_found, p6_report, p7_mix, p7_report, p8_found, p8_kinds)
     return {f.__name__: f for f in own}
 
 
