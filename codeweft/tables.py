@@ -54,3 +54,12 @@ def collapse_blanks(text: Column) -> Column:
 def short_hash(text: Column) -> Column:
     """First 16 hex digits of the SHA-256 of ``text``."""
     return F.substring(F.sha2(text, 256), 1, 16)
+
+
+def latest_content(rows: DataFrame, values: list[str], at: str = "ingested_at") -> DataFrame:
+    """(file_id, *values) of each file's row with the greatest ``at``; equal ones are told apart by ``values``.
+
+    Rows with a null file_id, file_path or content are left out.
+    """
+    known = rows.where("file_id IS NOT NULL AND file_path IS NOT NULL AND content IS NOT NULL")
+    return known.groupBy("file_id").agg(F.max(F.struct(at, *values)).alias("r")).select("file_id", *[F.col(f"r.{v}").alias(v) for v in values])
