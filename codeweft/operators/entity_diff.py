@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions.text import signature_jaccard
-from codeweft.tables import small
+from codeweft.tables import cut, small
 
 RENAME, MOVE, MARGIN = 0.92, 0.92, 0.05
 FACTS = ["signature", "body_hash", "fingerprint"]
@@ -45,10 +45,10 @@ def pair_entities(before: DataFrame, after: DataFrame, space: Sequence[str] = ("
     tiers += [(["body_hash", "fingerprint"], True, FACTS[1:]), (["fingerprint"], True, ["fingerprint"]), (["body_hash"], True, ["body_hash"]), ([], False, [])]
     pairs = None
     for by, unique, needs in tiers:
-        found = _pair(before, after, space, by, unique, needs)
+        found = cut(_pair(before, after, space, by, unique, needs))  # else each tier would make those before it anew
         pairs = found if pairs is None else pairs.unionByName(found)
-        before = before.join(found.select(F.col("before_id").alias("id")), "id", "left_anti")
-        after = after.join(found.select(F.col("after_id").alias("id")), "id", "left_anti")
+        before = cut(before.join(found.select(F.col("before_id").alias("id")), "id", "left_anti"))
+        after = cut(after.join(found.select(F.col("after_id").alias("id")), "id", "left_anti"))
     return pairs
 
 
@@ -71,12 +71,14 @@ def _best(candidates: DataFrame, least: float) -> DataFrame:
     return ranked.where("n = 1 AND m = 1")
 
 
-def _candidates(removed: DataFrame, added: DataFrame, elsewhere: bool) -> DataFrame:
+def _candidates(removed: DataFrame, added: DataFrame, elsewhere: bool, space: Sequence[str]) -> DataFrame:
     """Pairs that may reach the threshold, found by equal hash or equal word set, never by a product of all."""
     old, new = _prefixed(removed, "b_"), _prefixed(added, "a_")
     words = lambda c: F.array_sort(F.array_distinct(F.regexp_extract_all(F.col(c), F.lit(r"[A-Za-z0-9_]+"), F.lit(0))))
     place = (F.col("b_file_path") != F.col("a_file_path")) if elsewhere else (F.col("b_file_path") == F.col("a_file_path"))
     kind = F.col("b_kind") == F.col("a_kind")
+    for c in space:
+        kind = kind & (F.col(f"b_{c}") == F.col(f"a_{c}"))
     parts = [old.join(new, kind & place & (F.col(f"b_{c}") == F.col(f"a_{c}")) & (F.col(f"b_{c}") != "")) for c in ("fingerprint", "body_hash")]
     # signatures of at most 11 words reach 0.92 only with the same words; longer ones share a word block of all but one in twelve
     sized = lambda rows, p: rows.withColumn("w", words(p + "signature")).withColumn("key", F.explode(_prefix_words("w")))
@@ -95,16 +97,17 @@ def _prefix_words(words: str) -> Column:
     return F.when(n == 0, F.array(F.lit(""))).otherwise(F.slice(words, F.lit(1), n - F.ceil(n * 0.915).cast("int") + 1))
 
 
-def compare(before: DataFrame, after: DataFrame) -> DataFrame:
+def compare(before: DataFrame, after: DataFrame, space: Sequence[str] = ()) -> DataFrame:
     """Changes between two versions: change_kind, before_id, after_id, score, ambiguous.
 
+    ``space`` names columns that must agree, so many comparisons run as one.
     Paired entities are signature_changed or body_changed where they differ
     and give no row where they don't. Of the rest, the best alike in the same
     file and kind are renamed, in another file moved; a move whose second
     choice is within 0.05 stays removed and added, marked ambiguous. Ties go
     to the earlier position, then the name.
     """
-    pairs = pair_entities(before, after)
+    pairs = cut(pair_entities(before, after, (*space, "file_path")))
     b, a = _prefixed(before, "b_"), _prefixed(after, "a_")
     both = pairs.join(b, F.col("before_id") == F.col("b_id")).join(a, F.col("after_id") == F.col("a_id"))
     sign, body = F.col("b_signature").eqNullSafe(F.col("a_signature")), F.col("b_body_hash").eqNullSafe(F.col("a_body_hash"))
@@ -112,10 +115,10 @@ def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     removed = before.join(pairs.select(F.col("before_id").alias("id")), "id", "left_anti")
     added = after.join(pairs.select(F.col("after_id").alias("id")), "id", "left_anti")
     ids = [F.col("b_id").alias("before_id"), F.col("a_id").alias("after_id"), "score"]
-    renamed = _best(_candidates(removed, added, False), RENAME).select(F.lit("renamed").alias("change_kind"), *ids, F.lit(False).alias("ambiguous"))
+    renamed = cut(_best(_candidates(removed, added, False, space), RENAME).select(F.lit("renamed").alias("change_kind"), *ids, F.lit(False).alias("ambiguous")))
     gone = removed.join(renamed.select(F.col("before_id").alias("id")), "id", "left_anti")
     come = added.join(renamed.select(F.col("after_id").alias("id")), "id", "left_anti")
-    best = _best(_candidates(gone, come, True), MOVE).withColumn("close", F.coalesce((F.col("second") >= MOVE) & (F.col("score") - F.col("second") < MARGIN), F.lit(False)))
+    best = _best(_candidates(gone, come, True, space), MOVE).withColumn("close", F.coalesce((F.col("second") >= MOVE) & (F.col("score") - F.col("second") < MARGIN), F.lit(False)))
     moved = best.where("NOT close").select(F.lit("moved").alias("change_kind"), *ids, F.lit(False).alias("ambiguous"))
     unsure = best.where("close").select(F.col("b_id").alias("id"), F.lit(True).alias("unsure"))
     null = F.lit(None).cast("double").alias("score")

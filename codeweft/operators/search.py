@@ -109,7 +109,10 @@ def term_counts(regions: DataFrame, terms: DataFrame, tokens: Column | None = No
     """(region_id, length, term, tf) of regions (region_id, body): token variants counted, length of all of them."""
     counted = regions.select("region_id", (term_tokens(F.col("body")) if tokens is None else tokens).alias("tokens"))
     wanted = [r["term"] for r in terms.select("term").limit(SPARSE_TERM_CAP + 1).collect()]
-    tf = F.array(*[F.struct(F.lit(t).alias("term"), F.size(F.filter("tokens", lambda x, t=t: x == t)).alias("tf")) for t in wanted])
+    def count(term: str) -> Column:
+        return F.size(F.filter("tokens", lambda x: x == F.lit(term)))
+
+    tf = F.array(*[F.struct(F.lit(t).alias("term"), count(t).alias("tf")) for t in wanted])
     return counted.select("region_id", F.size("tokens").alias("length"), F.inline(tf))
 
 
