@@ -43,7 +43,7 @@ REASON = (
     r"|internal (?:server )?error|not implemented|bad gateway|(?:service )?(?:temporarily )?unavailable|service unavailable|gateway time-?out|access denied|permission denied|origin is down|oops"
 )
 ERRORS = [
-    rf"(?:(?:error|http|status|fehler|erreur|code|message)\s*[:\-]?\s*)*(?:[1-5]\d\d)?\s*[-:]?\s*(?:{REASON})(?:\s*\((?:code )?\d+\))?",
+    rf"(?:(?:error|http|status|fehler|erreur|code|message)\s{{0,2}}[:\-]?\s{{0,2}}){{0,4}}(?:[1-5]\d\d)?\s{{0,2}}[-:]?\s{{0,2}}(?:{REASON})(?:\s{{0,2}}\((?:code )?\d+\))?",
     r"(?:error|http|status|fehler|erreur|code)\s*:?\s*[1-5]\d\d",
     r"(?:error|fehler|erreur)\s*:?\s*[1-5]\d\d\s*[:\-]\s.{1,120}",
     r"\{\s*\"(?:status|error|code)\"\s*:.{0,200}\}",
@@ -92,10 +92,10 @@ LOREM = (
     "nulla rutrum lacus erat situs orba semper cursus augue porta velit viver mollis nunc vitae pellen fermen"
 )
 FILLER = [
-    rf"(?:(?:{'|'.join(LOREM.split())})[\w]{{0,4}}[\s,]*){{3,}}",
-    r"(?:test\s*|\d+\s*){3,}",
+    rf"(?:\b(?:{'|'.join(LOREM.split())})\w{{0,4}}\b[\s,]*+){{3,}}+",  # possessive: no word is read in two ways
+    r"(?:test\b\s*+|\d++\s*+){3,}+",
     r"(?:asdf\w*|qwer\w*|foo|bar|baz|xyz)(?:\s+(?:asdf\w*|qwer\w*|foo|bar|baz|xyz))+",
-    r"(?:blah[\s,]*){2,}(?:more blah to come)?",
+    r"(?:blah\b[\s,]*+){2,}+(?:more blah to come)?",
     r"(?:[\w ]{1,30}:\s*)?(?:text ){2,}text",
     r"[\w ]{1,30}:?\s+(?:tba|tbd|lorem|to follow|to be written|to be done|coming soon|will be added here|\(dummy\))",
     r"this is (?:placeholder|dummy|sample) (?:copy|text).{0,60}",
