@@ -43,7 +43,7 @@ def test_whole_residue(text, kind):
 def test_residue_documents_and_propagation(spark):
     rng = random.Random(2)
     long = " ".join(rng.choice(residue.LOREM.split()) for _ in range(300))
-    near = long + " wenting"
+    near = next(n for n in (f"{long} {w}ish" for w in ("w", "x", "y", "z", "wen", "zen")) if (near_dup.simhash(long) ^ near_dup.simhash(n)).bit_count() <= near_dup.HAMMING)
     rows = [(1, long, "a"), (2, long, "b"), (3, near, "c"), (4, "plain text about a graph of files", "d"), (5, PLACES[0], "e"), (6, None, "f"), (None, long, "g"), (1, long, "a")]
     found = {r.doc_id: (r.label, r.seeded) for r in residue.residue_documents(spark.createDataFrame(rows, "doc_id long, text string, label string")).collect()}
     assert found == {1: ("filler", True), 2: ("filler", True), 3: ("filler", False), 5: ("placeholder", True)}
