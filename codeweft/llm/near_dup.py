@@ -1,8 +1,9 @@
-"""Near-duplicate texts by partitioned SimHash tables, verified by Hamming distance and shingle similarity."""
+"""Near-duplicate texts: all pairs of a shingle similarity by prefixes, or close ones by partitioned SimHash tables."""
 
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections.abc import Iterator
 
@@ -19,6 +20,8 @@ HAMMING = 3
 BLOCKS, KEYED = 6, 3
 #: Members of a bucket that one task compares with each other.
 CELL = 500
+#: Frequent shingles that are told apart when shingles are ordered; the others count as rare, which costs time but no pair.
+FREQUENT = 100_000
 
 WORD = re.compile(r"\w+")
 
@@ -105,6 +108,95 @@ def near_links(texts: DataFrame, threshold: float = SIMILARITY, hamming: int = H
     )
 
 
+def _hashed_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import numpy as np
+    import xxhash
+
+    for batch in batches:
+        sets, keys = [], []
+        for text in batch.column("text").to_pylist():
+            grams = shingles(text)
+            hashes = np.unique(np.fromiter((xxhash.xxh64_intdigest(g) for g in grams), dtype=np.uint64, count=len(grams)).view(np.int64))
+            sets.append(hashes)
+            keys.append(xxhash.xxh3_128_hexdigest(hashes.tobytes()))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(keys, pa.string()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "key", "shingles"])
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import numpy as np
+
+    for batch in batches:
+        values, counts = np.unique(batch.column("shingles").flatten().to_numpy(), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(values[counts > 2], pa.int64()), pa.array(counts[counts > 2], pa.int64())], names=["h", "n"])
+
+
+def least_shared(size: int, threshold: float) -> int:
+    """How many of ``size`` shingles a text shares at least with any that reaches the threshold."""
+    return max(1, math.ceil(threshold * size - 1e-9))
+
+
+def _prefixes(threshold: float, frequent: list[tuple[int, int]]):
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        known = np.array([h for h, _ in frequent], dtype=np.int64)
+        weights = np.array([n for _, n in frequent], dtype=np.int64)
+        for batch in batches:
+            firsts, sizes = [], []
+            for hashes in batch.column("shingles"):
+                h = hashes.values.to_numpy()
+                weight = np.zeros(len(h), dtype=np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    weight = np.where(known[at] == h, weights[at], 0)
+                firsts.append(h[np.lexsort((h, weight))][: len(h) - least_shared(len(h), threshold) + 1])
+                sizes.append(len(h))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["id", "size", "prefix"])
+
+    return prefixes
+
+
+def similar_links(texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """Links (left_node < right_node) of distinct ``texts`` (node, text) whose shingle sets have a Jaccard similarity of ``threshold``.
+
+    No pair is lost: with shingles in one order for all texts, rare ones
+    first, two such texts share a shingle among the first of each, as many as
+    the threshold lets differ and one more (prefix filter). Only the order
+    depends on how shingles are counted, so counts within batches will do.
+    Texts of equal sets are one class, linked to its least node, which stands
+    for it in all other links; so components are those of all pairs. A
+    shingle of many prefixes is cut into cells that meet in tasks of their own.
+    """
+    kind = dict(texts.dtypes)["node"]
+    hashed = texts.select("node", "text").mapInArrow(_hashed_shingles, f"node {kind}, key string, shingles array<bigint>").persist()
+    classes = hashed.groupBy("key").agg(F.min("node").alias("rep"))
+    members = hashed.select("node", "key").join(classes, "key").where("node <> rep").select(F.col("rep").alias("left_node"), F.col("node").alias("right_node"))
+    sets = cut(hashed.join(classes.select(F.col("rep").alias("node")), "node", "left_semi").where(F.size("shingles") > 0).select(F.monotonically_increasing_id().alias("id"), "node", "shingles"))
+    frequent = sets.select("shingles").mapInArrow(_repeated, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    prefix = sets.select("id", "shingles").mapInArrow(_prefixes(threshold, sorted((r["h"], r["n"]) for r in frequent)), "id bigint, size int, prefix array<bigint>")
+    placed = prefix.select("id", "size", F.posexplode("prefix").alias("pos", "h"))
+    full = placed.groupBy("h").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    held = cut(placed.join(full, "h").withColumn("cells", F.ceil(F.col("members") / CELL).cast("int")).withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")))
+    left = held.select("h", F.col("cell").alias("i"), F.explode(F.sequence("cell", F.col("cells") - 1)).alias("j"), F.col("id").alias("a"), F.col("size").alias("na"), F.col("pos").alias("pa"))
+    right = held.select("h", F.explode(F.sequence(F.lit(0), "cell")).alias("i"), F.col("cell").alias("j"), F.col("id").alias("b"), F.col("size").alias("nb"), F.col("pos").alias("pb"))
+    # after the first shared shingle, what is left of the shorter side must still reach the overlap the threshold asks for
+    needed = threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-6
+    near = (
+        left.join(right, ["h", "i", "j"])
+        .where((F.col("a") != F.col("b")) & ((F.col("i") != F.col("j")) | (F.col("a") < F.col("b"))) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= needed))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .distinct()
+    )
+    shared = F.size(F.array_intersect("sa", "sb"))
+    pairs = (
+        near.join(sets.select(F.col("id").alias("a"), F.col("node").alias("left"), F.col("shingles").alias("sa")), "a")
+        .join(sets.select(F.col("id").alias("b"), F.col("node").alias("right"), F.col("shingles").alias("sb")), "b")
+        .where(shared / (F.size("sa") + F.size("sb") - shared) >= threshold)
+        .select(F.least("left", "right").alias("left_node"), F.greatest("left", "right").alias("right_node"))
+    )
+    return pairs.unionByName(members)
+
+
 def propagate(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (node, label) carried from the seeds to everything their connected components hold.
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.llm.near_dup import near_links, propagate
+from codeweft.llm.near_dup import propagate, similar_links
 
 # ---- places that were never filled in (fixed patterns, one a template syntax)
 PLACES = [
@@ -199,8 +199,8 @@ def residue_documents(documents: DataFrame) -> DataFrame:
 
     label is placeholder, error_page, script_notice, filler or empty_form.
     Trusted labels come from rules on whole texts; they spread through the
-    connected components of near-duplicate texts (partitioned SimHash tables,
-    Hamming and shingle similarity verified). A text that only resembles one
+    connected components of near-duplicate texts (all pairs whose shingle
+    similarity is 0.8 or more). A text that only resembles one
     with an open place is kept out unless it has one itself: that place may
     have been filled. seeded tells whether the rules named the text itself.
 
@@ -210,7 +210,7 @@ def residue_documents(documents: DataFrame) -> DataFrame:
     """
     rows = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.sha2("text", 256).alias("node"))
     texts = rows.groupBy("node").agg(F.min("text").alias("text")).mapInArrow(_label, "node string, text string, label string").persist()
-    links = near_links(texts.select("node", "text"))
+    links = similar_links(texts.select("node", "text"))
     seeds = texts.where("label IS NOT NULL").select("node", "label")
     # a placeholder proves itself and spreads to nothing, the other kinds are whole texts
     spread = propagate(seeds.where("label <> 'placeholder'"), links)
