@@ -13,7 +13,7 @@ from codeweft.tables import cut
 
 #: Formats that are never a case, as they hold no code.
 NO_CODE = ("json", "toml", "md")
-#: Shared code of fewer characters tells nothing: an empty package file is in every project.
+#: Shared code of fewer characters, in a file or in a whole folder, tells nothing: an empty package file is in every project.
 LEAST_SHARED = 200
 
 # ---- what tools and importers write at the head or the end of a file (fixed patterns)
@@ -143,32 +143,35 @@ def _examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     for batch in batches:
-        rules, hashes = [], []
+        rules, hashes, sizes = [], [], []
         for path, text, repo in zip(*(batch.column(c).to_pylist() for c in ("file_path", "content", "repo_key"))):
             rules.append(squeezed_or_written(path, text, repo or ""))
             code = code_of(text.replace("\r\n", "\n"))
-            hashes.append(xxhash.xxh3_64_intdigest(code) - 2**63 if len(code) >= LEAST_SHARED and path.rsplit(".", 1)[-1].lower() not in NO_CODE else None)
+            sizes.append(len(code) if path.rsplit(".", 1)[-1].lower() not in NO_CODE else 0)
+            hashes.append(xxhash.xxh3_64_intdigest(code) - 2**63 if sizes[-1] else None)
         kept = [batch.column(c) for c in ("file_id", "repo_key", "file_path", "ingested_at")]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(rules, pa.string()), pa.array(hashes, pa.int64())], names=["file_id", "repo_key", "file_path", "ingested_at", "rule", "code_hash"])
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(rules, pa.string()), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int64())], names=["file_id", "repo_key", "file_path", "ingested_at", "rule", "code_hash", "code_size"])
 
 
 def merkle_levels(files: DataFrame, depth: int) -> DataFrame:
-    """Hashes of all folders: repo_key, folder, level, tree_hash, n_files.
+    """Hashes of all folders: repo_key, folder, level, tree_hash, n_files, code_size.
 
-    ``files``: repo_key, file_path, code_hash. Bottom-up, a folder's hash is
+    ``files``: repo_key, file_path, code_hash, code_size; those below ``depth``
+    folders count for the folder at that depth. The root is the folder '' at
+    level 0. Bottom-up, a folder's hash is
     that of the multiset of its children's hashes; names don't enter, since
     importers rename. Multisets are hashed by sums and xor, which combine
     before the shuffle, so a folder with a third of all files is no hot group.
     """
     parts = F.split("file_path", "/")
     nodes = files.where("code_hash IS NOT NULL").select(
-        "repo_key", F.slice(parts, 1, F.size(parts) - 1).alias("dirs"), F.col("code_hash").alias("h"), F.lit(1).cast("bigint").alias("n_files")
+        "repo_key", F.slice(parts, 1, F.least(F.size(parts) - 1, F.lit(depth))).alias("dirs"), F.col("code_hash").alias("h"), F.lit(1).cast("bigint").alias("n_files"), "code_size"
     )
     levels = below = None
-    for level in range(depth, 0, -1):
+    for level in range(depth, -1, -1):
         at = nodes.where(F.size("dirs") == level)
         if below is not None:
-            at = at.unionByName(below.select("repo_key", F.slice("dirs", 1, level).alias("dirs"), "h", "n_files"))
+            at = at.unionByName(below.select("repo_key", F.slice("dirs", 1, level).alias("dirs"), "h", "n_files", "code_size"))
         below = cut(  # a row a folder: each level is made once
             at.groupBy("repo_key", "dirs")
             .agg(
@@ -177,10 +180,11 @@ def merkle_levels(files: DataFrame, depth: int) -> DataFrame:
                 F.sum(F.col("h").bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"),
                 F.count(F.lit(1)).alias("n"),
                 F.sum("n_files").alias("n_files"),
+                F.sum("code_size").alias("code_size"),
             )
-            .select("repo_key", "dirs", F.xxhash64("x", "up", "low", "n").alias("h"), "n_files")
+            .select("repo_key", "dirs", F.xxhash64("x", "up", "low", "n").alias("h"), "n_files", "code_size")
         )
-        own = below.select("repo_key", F.array_join("dirs", "/").alias("folder"), F.lit(level).alias("level"), F.col("h").alias("tree_hash"), "n_files")
+        own = below.select("repo_key", F.array_join("dirs", "/").alias("folder"), F.lit(level).alias("level"), F.col("h").alias("tree_hash"), "n_files", "code_size")
         levels = own if levels is None else levels.unionByName(own)
     return levels
 
@@ -201,21 +205,22 @@ def shared_hashes(hashed: DataFrame) -> DataFrame:
     )
 
 
-def not_handwritten(source_files: DataFrame, depth: int = 8) -> DataFrame:
+def not_handwritten(source_files: DataFrame, depth: int | None = None) -> DataFrame:
     """Files nobody of the project wrote by hand: file_id, rule.
 
     rule: generated_header, vendored_header, vendored_folder, generated_name,
     minified, data, generated_layout by the file alone; shared_code if an unrelated
-    repository holds the same code; shared_tree if it lies in a folder whose
-    whole tree an unrelated repository holds (Merkle hashes, to ``depth``
-    folders). `.json`, `.toml` and `.md` are never a case, nor is a file
+    repository holds the same code, of LEAST_SHARED characters or more;
+    shared_tree if it lies, however short, in a folder whose whole tree of so
+    much code an unrelated repository holds (Merkle hashes, to ``depth``
+    folders, by default those of the deepest file). `.json`, `.toml` and `.md` are never a case, nor is a file
     without content. Rows with a null file_id, file_path or content are
     ignored; of several rows of a file_id that of the last ingested_at holds;
     a null repo_key belongs to no repository; an empty table gives no rows.
     """
     rows = source_files.where("file_id IS NOT NULL AND file_path IS NOT NULL AND content IS NOT NULL").select("file_id", "repo_key", "file_path", "content", "ingested_at")
-    schema = f"file_id bigint, repo_key string, file_path string, ingested_at {dict(rows.dtypes)['ingested_at']}, rule string, code_hash bigint"
-    facts = ["repo_key", "file_path", "rule", "code_hash"]
+    schema = f"file_id bigint, repo_key string, file_path string, ingested_at {dict(rows.dtypes)['ingested_at']}, rule string, code_hash bigint, code_size bigint"
+    facts = ["repo_key", "file_path", "rule", "code_hash", "code_size"]
     files = (
         rows.mapInArrow(_examine, schema)
         .groupBy("file_id")
@@ -224,16 +229,18 @@ def not_handwritten(source_files: DataFrame, depth: int = 8) -> DataFrame:
         .persist()
     )
     hashed = files.where("code_hash IS NOT NULL AND repo_key IS NOT NULL")
-    same_code = shared_hashes(hashed.select("repo_key", F.col("code_hash").alias("h")))
-    levels = merkle_levels(hashed, depth)
+    parts = F.split("file_path", "/")
+    if depth is None:
+        depth = (hashed.agg(F.max(F.size(parts))).first()[0] or 1) - 1
+    alone = hashed.where(F.col("code_size") >= LEAST_SHARED)
+    same_code = shared_hashes(alone.select("repo_key", F.col("code_hash").alias("h")))
+    levels = merkle_levels(hashed, depth).where(F.col("code_size") >= LEAST_SHARED)
     same_tree = levels.join(shared_hashes(levels.select("repo_key", F.col("tree_hash").alias("h"))).withColumnRenamed("h", "tree_hash"), "tree_hash", "left_semi").select("repo_key", "folder").distinct()
     by_rule = files.where("rule IS NOT NULL").select("file_id", "rule")
-    by_code = hashed.join(same_code.withColumnRenamed("h", "code_hash"), "code_hash", "left_semi").select("file_id", F.lit("shared_code").alias("rule"))
-    parts = F.split("file_path", "/")
-    above = F.transform(F.sequence(F.lit(1), F.least(F.size(parts) - 1, F.lit(depth))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    by_code = alone.join(same_code.withColumnRenamed("h", "code_hash"), "code_hash", "left_semi").select("file_id", F.lit("shared_code").alias("rule"))
+    above = F.transform(F.sequence(F.lit(0), F.least(F.size(parts) - 1, F.lit(depth))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
     by_tree = (
-        hashed.where(F.size(parts) > 1)
-        .select("file_id", "repo_key", F.explode(above).alias("folder"))
+        hashed.select("file_id", "repo_key", F.explode(above).alias("folder"))
         .join(same_tree, ["repo_key", "folder"], "left_semi")
         .select("file_id", F.lit("shared_tree").alias("rule"))
     )
