@@ -36,8 +36,8 @@ IMPORT_DIRS = re.compile(r"(?:^|/)(?:vendor|_vendor|third[_-]?party|deps|extern|
 
 BLOCK = re.compile(r"\s*(?:(?://|#(?!include|define|if|!\[|!/|pragma|undef|error|else|end|line))[^\n]*|/\*.*?\*/|<!--.*?-->|\"\"\".*?\"\"\"|'''.*?''')[ \t]*(?:\n|\Z)", re.S)
 SHEBANG = re.compile(r"﻿?(?:#![^\n]*\n)?")
-TAIL = re.compile(r"(?:^|\n)[ \t]*(?:(?:(?://|#(?!include|define|if|pragma|undef|error|else|end|line))[^\n]*+(?:\n[ \t]*+|\Z))+|/\*(?:(?!/\*).)*?\*/|\"\"\"(?:(?!\"\"\").)*?\"\"\"|'''(?:(?!''').)*?''')\s*\Z", re.S)
-TAIL_CHARS = 4000
+LINE_NOTE = re.compile(r"[ \t]*(?://|#(?!include|define|if|pragma|undef|error|else|end|line))")
+OPENING = {"*/": re.compile(r"^[ \t]*/\*", re.M), '"""': re.compile(r'^[ \t]*"""', re.M), "'''": re.compile(r"^[ \t]*'''", re.M)}
 
 LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|\b0[xX][0-9a-fA-F]+\b|\b\d[\d.]*(?:[eE][+-]?\d+)?[a-zA-Z]?\b")
 NAME = re.compile(r"[A-Za-z_$][\w$]*")
@@ -55,6 +55,28 @@ def head(text: str) -> tuple[str, int]:
     return text[begun:at], at
 
 
+def tail(text: str) -> list[str]:
+    """The comments that close the text, however long: the run of line comments, or the block that begins a line."""
+    text = text.rstrip()
+    notes, at = [], len(text)
+    while at > 0 and LINE_NOTE.match(text, begin := text.rfind("\n", 0, at) + 1):
+        at = begin - 1
+    if at < len(text):
+        notes.append(text[at + 1 :])
+    closing = next((c for c in OPENING if text.endswith(c)), None)
+    if closing == "*/":
+        before = text.rfind(closing, 0, -2)
+        opening = OPENING[closing].search(text, before + 2 if before >= 0 else 0)
+    elif closing:
+        before = text.rfind(closing, 0, -3)
+        opening = OPENING[closing].match(text, text.rfind("\n", 0, before) + 1) if before >= 0 else None
+    else:
+        opening = None
+    if opening and opening.end() <= len(text) - len(closing):
+        notes.append(text[opening.start() :])
+    return notes
+
+
 def code_of(text: str) -> str:
     """The code without the comments at the head, blanks collapsed: what an importer's header doesn't change."""
     return " ".join(text[head(text)[1] :].split())
@@ -116,8 +138,7 @@ def squeezed_or_written(path: str, text: str, repo: str) -> str | None:
         return None
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     top = head(text)[0]
-    tail = TAIL.search(text[-TAIL_CHARS:])
-    for note in (top, tail[0] if tail else ""):
+    for note in (top, *tail(text)):
         note = re.sub(r"\s*\n\s*(?://+|#+|\*)?\s*", " ", note)
         if GENERATED.search(note):
             return "generated_header"
