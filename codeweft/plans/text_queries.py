@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.functions import text as T
-from codeweft.operators import entity_diff, search, similarity, snapshot_diff
+from codeweft.operators import entity_diff, relations, search, similarity, snapshot_diff
+from codeweft.sources import parse
 from codeweft.tables import latest_content, short_hash, table
 
 QUERY = "budget warning in the snapshot writer"
@@ -115,8 +116,9 @@ def entity_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def near_clones(spark: SparkSession, d: str) -> DataFrame:
-    files = latest_content(table(spark, d, "source_files"), ["content"])
-    return similarity.similar_pairs(similarity.signatures(files.select(F.col("file_id").alias("symbol_id"), F.col("content").alias("body"))))
+    """Near-clones among the functions and methods of all files, within a file, across files and across repositories."""
+    files = latest_content(table(spark, d, "source_files"), ["repo_key", "file_path", "content"]).withColumn("repo_key", F.coalesce("repo_key", F.lit("")))
+    return similarity.similar_pairs(similarity.signatures(relations.bodies(relations.symbols(parse.facts(files)))))
 
 
 QUERIES = (
