@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codeweft.functions.text import TYPE_KINDS, basename, sparse_tokens, term_tokens
+from codeweft.functions.text import TYPE_KINDS, basename, search_words, sparse_tokens, term_tokens
 
 K1, B = 1.2, 0.75
 CHUNK_LINES, CHUNK_STRIDE = 80, 60
 RRF_K, RRF_FILE_WEIGHT = 60, 2
 TERM_CAP, SPARSE_TERM_CAP = 48, 64
+#: Characters of a word that are compared at once; longer terms are then compared whole.
+PIECE = 64
+#: Parts in which the results of one query are ranked first.
+RANK_PARTS = 16
 # ---- fixed values: words that don't count in a query
 STOP_WORDS = frozenset(
     "a an and are as at be but by can change code did does for from how i in into is it make not of on or our should support that the this to use uses using "
@@ -276,3 +281,89 @@ def diverse(regions: Sequence[Region], top_k: int = 10, per_file: int = 3, ratio
         else:
             picks.append(max(open_, key=lambda r: (adjusted(r), -open_.index(r))))
     return picks
+
+
+def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep, terms, waived = [], [], []
+        for n, text in enumerate(batch.column("text").to_pylist()):
+            try:
+                query = build_query(text)
+            except ValueError:  # no term: it finds nothing
+                continue
+            keep.append(n)
+            terms.append([{"term": t, "weight": float(query.weights[t])} for t in query.terms])
+            waived.append([i for i, (_, _, words) in enumerate(PRIORS) if words and query.supplies(*words.split())])
+        kind = pa.list_(pa.struct([("term", pa.string()), ("weight", pa.float64())]))
+        ids = batch.column("query_id").take(pa.array(keep, pa.int64()))
+        yield pa.RecordBatch.from_arrays([ids, pa.array(terms, kind), pa.array(waived, pa.list_(pa.int32()))], names=["query_id", "terms", "waived"])
+
+
+def build_queries(queries: DataFrame) -> DataFrame:
+    """(query_id, terms, waived) of queries (query_id, text): the weighted terms of each, and the priors of paths that it waives. Texts without a term give no row."""
+    kind = dict(queries.dtypes)["query_id"]
+    return queries.where("query_id IS NOT NULL AND text IS NOT NULL").select("query_id", "text").mapInArrow(_built, f"query_id {kind}, terms array<struct<term:string,weight:double>>, waived array<int>")
+
+
+def substring_frequency(documents: DataFrame, terms: DataFrame) -> DataFrame:
+    """``document_frequency`` of any number of distinct ``terms`` (term): term, df, n_docs, idf.
+
+    A term holds only characters of search words, so it occurs in a text if
+    it does in one of its words. Each place of each distinct word meets the
+    terms that begin with the same two or three characters.
+    """
+    words = documents.select("doc_id", F.explode(F.array_distinct(search_words(F.lower(F.concat_ws("\n", "path", "body"))))).alias("word")).persist()
+    keyed = terms.select("term").distinct().withColumn("key", F.substring("term", 1, 3))
+    places = words.select("word").distinct().where(F.length("word") >= 2).select("word", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("at"))
+    pieces = places.select("word", "at", F.substring("word", F.col("at"), F.lit(PIECE)).alias("piece"))
+    starts = pieces.select("word", "at", "piece", F.explode(F.array_distinct(F.array(F.substring("piece", 1, 2), F.substring("piece", 1, 3)))).alias("key"))
+    met = starts.join(keyed, "key").where(F.col("piece").startswith(F.substring("term", 1, PIECE)) & ((F.length("term") <= PIECE) | (F.substring("word", F.col("at"), F.length("term")) == F.col("term"))))
+    held = met.select("word", "term").distinct().join(words, "word").select("term", "doc_id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    counted = keyed.select("term").join(held, "term", "left").withColumn("df", F.coalesce("df", F.lit(0))).join(F.broadcast(documents.agg(F.count(F.lit(1)).alias("n_docs"))))
+    return counted.withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+
+
+def bm25_batch(regions: DataFrame, documents: DataFrame, terms: DataFrame, sparse: bool = False) -> DataFrame:
+    """``bm25`` of many queries, with ``terms`` (query_id, term, weight): query_id, region_id, bm25, coverage, score.
+
+    An inverted table of tokens meets the terms of all queries.
+    """
+    tokens = regions.select("region_id", (sparse_tokens(F.col("body")) if sparse else term_tokens(F.col("body"))).alias("tokens"))
+    average = tokens.agg(F.avg(F.greatest(F.size("tokens"), F.lit(1))).alias("average"))
+    posted = tokens.select("region_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("term", "region_id", "length").agg(F.count(F.lit(1)).alias("tf"))
+    weighted = terms.join(substring_frequency(documents, terms).select("term", "idf"), "term").select("query_id", "term", "weight", (F.col("idf") * F.col("weight")).alias("w")).persist()
+    whole = weighted.groupBy("query_id").agg(F.sum("w").alias("all_w"))
+    size = 0.25 + B * F.greatest("length", F.lit(1)) / F.col("average")
+    part = F.col("w") * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * size))
+    scored = (
+        posted.join(weighted, "term")
+        .join(F.broadcast(average))
+        .groupBy("query_id", "region_id")
+        .agg(F.sum(part).alias("bm25"), F.sum("w").alias("covered"), F.sum(F.when(F.col("weight") >= 2, 6 * F.col("weight")).otherwise(0.0)).alias("code"))
+        .join(whole, "query_id")
+    )
+    coverage = F.when(F.col("all_w") > 0, F.col("covered") / F.col("all_w")).otherwise(0.0)
+    total = F.col("bm25") + 7 * F.col("coverage") + F.least(F.lit(24.0), F.col("code")) + F.when(F.col("coverage") >= 1 - 1e-12, 2.0).otherwise(0.0)
+    return scored.withColumn("coverage", coverage).select("query_id", "region_id", F.round("bm25", 4).alias("bm25"), F.round("coverage", 4).alias("coverage"), F.round(total, 4).alias("score"))
+
+
+def path_scores(path: Column, terms: Column, waived: Column) -> Column:
+    """``path_score`` and ``path_prior`` of a row's own query, given by its terms and the priors it waives."""
+    lower, base = F.lower(path), F.lower(basename(path))
+
+    def hit(t: Column) -> Column:
+        weight = t["weight"]
+        return F.when((weight != 1) & (weight < 1.25), 0.0).when(base.contains(t["term"]), 2.5 * weight).when(lower.contains(t["term"]), 1.25 * weight).otherwise(0.0)
+
+    score = F.aggregate(terms, F.lit(0.0), lambda total, t: total + hit(t))
+    for i, (pattern, value, _) in enumerate(PRIORS):
+        score = score + F.when(F.concat(F.lit("/"), lower).rlike(pattern) & ~F.array_contains(waived, i), value).otherwise(0.0)
+    return score
+
+
+def ranked_batch(scores: DataFrame, ties: Sequence[str], limit: int) -> DataFrame:
+    """The first ``limit`` rows of each query_id by score and then ``ties``, with their rank; ranked in parts first."""
+    order = [F.col("score").desc(), *ties]
+    parts = scores.withColumn("part", F.pmod(F.xxhash64(*ties), F.lit(RANK_PARTS)))
+    firsts = parts.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).where(F.col("rank") <= limit)
+    return firsts.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= limit).drop("part")

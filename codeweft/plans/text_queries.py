@@ -64,6 +64,33 @@ def focus_line(spark: SparkSession, d: str) -> DataFrame:
     return _documents(spark, d).select("doc_id", search.focus_line(F.col("body"), search.build_query(QUERY)).alias("focus"))
 
 
+def _queries(spark: SparkSession, d: str) -> DataFrame:
+    """The query set: each document whose id is divisible by 20 asks for what it says."""
+    asked = table(spark, d, "documents").where("doc_id % 20 = 0 AND text IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return search.build_queries(asked.withColumnRenamed("doc_id", "query_id"))
+
+
+def doc_frequency_batch(spark: SparkSession, d: str) -> DataFrame:
+    terms = _queries(spark, d).select(F.inline("terms"))
+    return search.substring_frequency(_documents(spark, d), terms).select("term", "df", "n_docs", F.round("idf", 6).alias("idf"))
+
+
+def bm25_batch_top(spark: SparkSession, d: str) -> DataFrame:
+    """The first ten documents for each query of the query set."""
+    asked = _queries(spark, d).persist()
+    scores = search.bm25_batch(_regions(spark, d), _documents(spark, d), asked.select("query_id", F.inline("terms")))
+    placed = scores.join(_regions(spark, d).select("region_id", "path"), "region_id").join(asked, "query_id")
+    total = F.round(F.col("score") + search.path_scores(F.col("path"), F.col("terms"), F.col("waived")), 4)
+    return search.ranked_batch(placed.select("query_id", "region_id", "path", total.alias("score")), ["path", "region_id"], 10)
+
+
+def sparse_batch_top(spark: SparkSession, d: str) -> DataFrame:
+    """The first ten runs of lines for each query of the query set."""
+    chunks = search.chunks(_documents(spark, d).select("doc_id", "body"))
+    scores = search.bm25_batch(chunks.select("region_id", "body"), _documents(spark, d), _queries(spark, d).select("query_id", F.inline("terms")), sparse=True)
+    return search.ranked_batch(scores.select("query_id", "region_id", "score"), ["region_id"], 10)
+
+
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     counted = table(spark, d, "commit_files").where("repo_key IS NOT NULL AND file_path IS NOT NULL").groupBy("repo_key", "file_path").agg(F.count(F.lit(1)).alias("n"), F.max("commit_seq").alias("seq"))
     sparse = search.ranked(counted, "n", ["file_path", "repo_key"], 500).select(F.concat_ws(":", "repo_key", "file_path").alias("region_id"), F.col("file_path").alias("path"), "rank")
@@ -123,7 +150,7 @@ def near_clones(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = (
     doc_frequency, bm25_search, bm25_top, sparse_chunks, sparse_bm25, path_prior, focus_line, rrf_fusion, token_counts, minified_share, body_hash_groups, dependents_count, signature_overlap,
-    entity_changes, near_clones,
+    entity_changes, near_clones, doc_frequency_batch, bm25_batch_top, sparse_batch_top,
 )
 
 
