@@ -65,6 +65,16 @@ def impact_totals(spark: SparkSession, d: str) -> DataFrame:
     return graph.impact_totals(impact_callers(spark, d))
 
 
+def impact_asked(spark: SparkSession, d: str) -> DataFrame:
+    """Impact of the shared endpoints and of each endpoint whose id's hash is divisible by 20."""
+    ids = [_endpoints(spark, d).where(F.pmod(F.xxhash64("endpoint_id"), F.lit(20)) == 0), table(spark, d, "shared_endpoints")]
+    return graph.impact(table(spark, d, "relations"), ids[0].select("endpoint_id").unionByName(ids[1].select("endpoint_id")), depth=2)
+
+
+def impact_asked_totals(spark: SparkSession, d: str) -> DataFrame:
+    return graph.impact_totals(impact_asked(spark, d))
+
+
 def siblings_members(spark: SparkSession, d: str) -> DataFrame:
     ends = _endpoints(spark, d)
     return graph.members(ends, ends.where("endpoint_kind = 'type'"))
@@ -118,7 +128,7 @@ def cochange_partners(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = (
-    endpoint_union, relation_dedup, edge_filter, resolved_edges, neighbors_topk, neighbors_production, focus_lookup, two_hop_paths, impact_callers, impact_totals, siblings_members,
+    endpoint_union, relation_dedup, edge_filter, resolved_edges, neighbors_topk, neighbors_production, focus_lookup, two_hop_paths, impact_callers, impact_totals, impact_asked, impact_asked_totals, siblings_members,
     inbound_degree, confidence_bands, completeness_rollup, enclosing_symbol, adjacent_siblings, gap_islands, cochange_pairs, cochange_top, cochange_partners,
 )
 
