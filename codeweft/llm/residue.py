@@ -13,23 +13,23 @@ from codeweft.llm.near_dup import propagate, similar_links
 
 # ---- places that were never filled in (fixed patterns, one a template syntax)
 PLACES = [
-    r"\{\{[-~]?\s*\.?[\w.$ |\"'-]{1,60}?\s*[-~]?\}\}",  # {{ name }}, {{ .Name }}
-    r"\{%-?\s*\w[^%{}\n]{0,60}?-?%\}",  # {% block name %}
-    r"<%[=#-]?[^%\n]{1,60}?-?%>",  # <%= name %>
-    r"[$#]\{[A-Za-z_][\w.:-]{0,60}\}",  # ${name}, #{name}
-    r"(?<![\w$#{])\{(?:[A-Za-z_]\w{0,40}|\d{1,2})\}(?!\})",  # {name}, {0}
-    r"%(?:\([A-Za-z_]\w*\)[sd]|[A-Z][A-Z0-9_]{1,40}%)",  # %(name)s, %NAME%
+    r"\{\{[-~]?\s*+(?:[#/>^&!]\s*+)?(?!\d+\s*,)[\w.$@\"'(|-](?:[^{}\n]|\{[^{}\n]*+\}(?!\}\}?\s*,))*+\s*+\}\}|\{\{[-~ ]+\}\}",  # {{ name }}, {{ .Name }}, {{#each items}}, {{ x|default("...") }}; no set of sets of numbers
+    r"\{%[-+]?\s*+\w(?:(?!%\}|\{%)[^\n])*+%\}",  # {% block name %}
+    r"<%(?:(?!%>|<%)[^\n])++%>",  # <%= name %>
+    r"[$#]\{[A-Za-z_][\w.]*+(?:[\w.:-]*+|:[-=?+][^{}\n]*+)\}",  # ${name}, #{name}, ${name:-value}
+    r"(?<![\w$#{])\{(?:[A-Za-z_]\w*+|\d{1,2})\}(?!\})",  # {name}, {0}
+    r"%(?:\([A-Za-z_]\w*\)[sd]|[A-Z][A-Z0-9_]++%)",  # %(name)s, %NAME%
     r"@@[A-Z][A-Z0-9_]*@@",
     r"\$\$[A-Z][A-Z0-9_]*\$\$",
     r"(?<!\w)__(?!NAME__|MAIN__|INIT__|FILE__|DOC__|ALL__|DICT__|CLASS__)[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*__(?!\w)",
-    r"\bXX[A-Z]{2,20}XX\b",
+    r"\bXX[A-Z]{2,}XX\b",
     r"\[\[\s*[a-z]\w*\s*\]\]",  # [[name]]
-    r"\[\s*(?:insert|your|enter|add)\b[^\[\]\n]{0,60}\]",  # [INSERT TITLE]
-    r"\[[^\[\]\n]{1,40}\bgoes here\]",
-    r"<\s*(?:your|insert|enter|add)\b[^<>\n]{0,60}>",  # <your title here>
-    r"<[a-z]+(?:-[a-z]+){1,3}>(?!.{0,400}</)",  # <file-name>, but no element that is closed again
-    r"\(\s*(?:fill in|insert|enter|to be filled)\b[^()\n]{0,60}\)",  # (fill in link)
-    r"«[a-z_]{2,30}»",  # «owner»: set off without blanks, so no quotation
+    r"\[\s*(?:insert|your|enter|add)\b[^\[\]\n]*+\]",  # [INSERT TITLE]
+    r"\[[^\[\]\n]+\bgoes here\]",
+    r"<\s*(?:your|insert|enter|add)\b[^<>\n]*+>",  # <your title here>
+    r"<(?P<element>[a-z]+(?:-[a-z]+)+)>(?![\s\S]*?</(?P=element)\s*>)",  # <file-name>, but no element that is closed again
+    r"\(\s*(?:fill in|insert|enter|to be filled)\b[^()\n]*+\)",  # (fill in link)
+    r"«[a-z_]{2,}+»",  # «owner»: set off without blanks, so no quotation
     r"\[object Object\]",
 ]
 #: These are told apart by letter case in a text that isn't all capitals.
