@@ -1,4 +1,4 @@
-"""Near-duplicate texts: all pairs of a shingle similarity by prefixes, or close ones by partitioned SimHash tables."""
+"""Near-duplicate texts: partitioned SimHash tables, prefixes of rare shingles for what lies beyond their radius, one verification."""
 
 from __future__ import annotations
 
@@ -11,15 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeweft.operators.buckets import CELL, in_cells
 from codeweft.tables import cut
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 HAMMING = 3
-#: Tables are keyed by every choice of KEYED of BLOCKS blocks; BLOCKS - KEYED >= HAMMING loses no pair.
-BLOCKS, KEYED = 6, 3
-#: Members of a bucket that one task compares with each other.
-CELL = 500
+#: Tables are keyed by every choice of KEYED of BLOCKS blocks; BLOCKS - KEYED >= HAMMING loses no pair of that distance.
+BLOCKS, KEYED = 5, 2
 #: Frequent shingles that are told apart when shingles are ordered; the others count as rare, which costs time but no pair.
 FREQUENT = 100_000
 
@@ -34,17 +33,27 @@ def shingles(text: str, n: int = SHINGLE_WORDS) -> set[str]:
     return {" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}
 
 
-def simhash(text: str) -> int:
-    """The 64-bit SimHash of the text's shingles, as a signed integer; 0 for a text without words."""
+def shingle_hashes(text: str):
+    """The sorted hashes of the text's shingles, as signed integers."""
     import numpy as np
     import xxhash
 
     grams = shingles(text)
-    if not grams:
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g) for g in grams), dtype=np.uint64, count=len(grams)).view(np.int64))
+
+
+def simhash_of(hashes) -> int:
+    """The 64-bit SimHash of shingle hashes, as a signed integer; 0 for none."""
+    import numpy as np
+
+    if not len(hashes):
         return 0
-    hashes = np.fromiter((xxhash.xxh64_intdigest(g) for g in grams), dtype=">u8", count=len(grams))
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0)
-    return int(np.packbits(bits * 2 > len(grams)).view(">i8")[0])
+    bits = np.unpackbits(hashes.astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0)
+    return int(np.packbits(bits * 2 > len(hashes)).view(">i8")[0])
+
+
+def simhash(text: str) -> int:
+    return simhash_of(shingle_hashes(text))
 
 
 def jaccard(a: set[str], b: set[str]) -> float:
@@ -59,67 +68,14 @@ def block_masks(blocks: int = BLOCKS, keyed: int = KEYED) -> list[int]:
     return [signed(sum(chosen)) for chosen in itertools.combinations(single, keyed)]
 
 
-def _signed_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("node"), pa.array([simhash(t) for t in batch.column("text").to_pylist()], pa.int64())], names=["node", "simhash"]
-        )
-
-
-def _similar(threshold: float):
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = batch.column("left_text").to_pylist(), batch.column("right_text").to_pylist()
-            keep = [n for n, (a, b) in enumerate(zip(left, right)) if jaccard(shingles(a), shingles(b)) >= threshold]
-            if keep:
-                yield batch.select(["left_node", "right_node"]).take(pa.array(keep))
-
-    return verify
-
-
-def near_links(texts: DataFrame, threshold: float = SIMILARITY, hamming: int = HAMMING) -> DataFrame:
-    """Pairs (left_node < right_node) of distinct ``texts`` (node, text) that are near-duplicates.
-
-    ``texts`` must hold every text once, so copies cost nothing. Two texts
-    meet if they share a bucket of some table; a bucket of many members is
-    cut into cells that meet pairwise in tasks of their own, so that none is
-    too large and no pair is lost.
-    """
-    signed = texts.mapInArrow(_signed_hashes, f"node {dict(texts.dtypes)['node']}, simhash bigint")
-    table = F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.lit(m).cast("bigint").bitwiseAND(F.col("simhash")).alias("bits")) for i, m in enumerate(block_masks())]))
-    placed = signed.withColumn("t", table).select("node", "simhash", F.col("t.no").alias("no"), F.col("t.bits").alias("bits"))
-    full = placed.groupBy("no", "bits").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    held = placed.join(full, ["no", "bits"]).withColumn("cells", F.ceil(F.col("members") / CELL).cast("int")).withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
-    # cell i meets every cell j: the left role goes to (i, j) for all j >= i, the right role to (i, j) for all i <= j
-    left = held.select("no", "bits", F.col("cell").alias("i"), F.explode(F.sequence("cell", F.col("cells") - 1)).alias("j"), F.col("node").alias("a"), F.col("simhash").alias("sa"))
-    right = held.select("no", "bits", F.explode(F.sequence(F.lit(0), "cell")).alias("i"), F.col("cell").alias("j"), F.col("node").alias("b"), F.col("simhash").alias("sb"))
-    near = (
-        left.join(right, ["no", "bits", "i", "j"])
-        .where((F.col("a") != F.col("b")) & ((F.col("i") != F.col("j")) | (F.col("a") < F.col("b"))) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= hamming))
-        .select(F.least("a", "b").alias("left_node"), F.greatest("a", "b").alias("right_node"))
-        .distinct()
-    )
-    kind = dict(texts.dtypes)["node"]
-    return (
-        near.join(texts.select(F.col("node").alias("left_node"), F.col("text").alias("left_text")), "left_node")
-        .join(texts.select(F.col("node").alias("right_node"), F.col("text").alias("right_text")), "right_node")
-        .select("left_node", "right_node", "left_text", "right_text")
-        .mapInArrow(_similar(threshold), f"left_node {kind}, right_node {kind}")
-    )
-
-
-def _hashed_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import numpy as np
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     for batch in batches:
-        sets, keys = [], []
-        for text in batch.column("text").to_pylist():
-            grams = shingles(text)
-            hashes = np.unique(np.fromiter((xxhash.xxh64_intdigest(g) for g in grams), dtype=np.uint64, count=len(grams)).view(np.int64))
-            sets.append(hashes)
-            keys.append(xxhash.xxh3_128_hexdigest(hashes.tobytes()))
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(keys, pa.string()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "key", "shingles"])
+        sets = [shingle_hashes(t) for t in batch.column("text").to_pylist()]
+        keys = [xxhash.xxh3_128_digest(h.tobytes()) for h in sets]
+        columns = [batch.column("node"), pa.array(keys, pa.binary()), pa.array([simhash_of(h) for h in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["node", "key", "simhash", "shingles"])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,61 +112,67 @@ def _prefixes(threshold: float, frequent: list[tuple[int, int]]):
     return prefixes
 
 
-def similar_links(texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+def _met(placed: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
+    """Every two rows of a bucket as one row: id and ``carried`` of both, with a_ and b_."""
+    met = cut(in_cells(placed, keys, "id", CELL))
+    columns = ["id", *carried]
+    left = met.where("cell = i").select(*keys, "i", "j", *[F.col(c).alias(f"a_{c}") for c in columns])
+    right = met.where("cell = j").select(*keys, "i", "j", *[F.col(c).alias(f"b_{c}") for c in columns])
+    return left.join(right, [*keys, "i", "j"]).where("a_id <> b_id AND (i <> j OR a_id < b_id)")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+
+
+def table_candidates(sets: DataFrame, hamming: int = HAMMING) -> DataFrame:
+    """Pairs (a < b) of ``sets`` (id, simhash) that share a bucket of some table and differ in at most ``hamming`` bits."""
+    tables = F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.lit(m).cast("bigint").bitwiseAND(F.col("simhash")).alias("bits")) for i, m in enumerate(block_masks())]))
+    placed = sets.select("id", "simhash", tables.alias("t")).select("id", "simhash", "t.no", "t.bits")
+    near = _met(placed, ["no", "bits"], ["simhash"]).where(F.bit_count(F.col("a_simhash").bitwiseXOR(F.col("b_simhash"))) <= hamming)
+    return _ordered(near)
+
+
+def prefix_candidates(sets: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """Pairs (a < b) of ``sets`` (id, shingles) among which is every pair that reaches the threshold.
+
+    With shingles in one order for all, rare ones first, two such sets share
+    one among the first of each, as many as the threshold lets differ and one
+    more. Only the order depends on how shingles are counted, so counts within
+    batches will do.
+    """
+    frequent = sets.select("shingles").mapInArrow(_repeated, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    prefix = sets.select("id", "shingles").mapInArrow(_prefixes(threshold, sorted((r["h"], r["n"]) for r in frequent)), "id bigint, size int, prefix array<bigint>")
+    met = _met(prefix.select("id", "size", F.posexplode("prefix").alias("pos", "h")), ["h"], ["size", "pos"])
+    # after the first shared shingle, what is left of the shorter side must still reach the overlap the threshold asks for
+    needed = threshold / (1 + threshold) * (F.col("a_size") + F.col("b_size")) - 1e-6
+    return _ordered(met.where(F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos")) >= needed))
+
+
+def similar_links(texts: DataFrame, threshold: float = SIMILARITY, beyond: bool = True) -> DataFrame:
     """Links (left_node < right_node) of distinct ``texts`` (node, text) whose shingle sets have a Jaccard similarity of ``threshold``.
 
-    No pair is lost: with shingles in one order for all texts, rare ones
-    first, two such texts share a shingle among the first of each, as many as
-    the threshold lets differ and one more (prefix filter). Only the order
-    depends on how shingles are counted, so counts within batches will do.
-    Texts of equal sets are one class, linked to its least node, which stands
-    for it in all other links; so components are those of all pairs. A
-    shingle of many prefixes is cut into cells that meet in tasks of their own.
+    Candidates come from partitioned SimHash tables, verified by their Hamming
+    distance; pairs that differ in more bits come from prefixes (``beyond``),
+    so none is lost. All are verified by the similarity itself. Texts of equal
+    sets are one class, linked to its least node, which stands for it in all
+    other links, so a page with a million copies doesn't pair with itself.
     """
     kind = dict(texts.dtypes)["node"]
-    hashed = texts.select("node", "text").mapInArrow(_hashed_shingles, f"node {kind}, key string, shingles array<bigint>").persist()
+    hashed = texts.select("node", "text").mapInArrow(_hashed, f"node {kind}, key binary, simhash bigint, shingles array<bigint>").persist()
     classes = hashed.groupBy("key").agg(F.min("node").alias("rep"))
     members = hashed.select("node", "key").join(classes, "key").where("node <> rep").select(F.col("rep").alias("left_node"), F.col("node").alias("right_node"))
-    sets = cut(hashed.join(classes.select(F.col("rep").alias("node")), "node", "left_semi").where(F.size("shingles") > 0).select(F.monotonically_increasing_id().alias("id"), "node", "shingles"))
-    frequent = sets.select("shingles").mapInArrow(_repeated, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
-    prefix = sets.select("id", "shingles").mapInArrow(_prefixes(threshold, sorted((r["h"], r["n"]) for r in frequent)), "id bigint, size int, prefix array<bigint>")
-    placed = prefix.select("id", "size", F.posexplode("prefix").alias("pos", "h"))
-    full = placed.groupBy("h").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    held = cut(placed.join(full, "h").withColumn("cells", F.ceil(F.col("members") / CELL).cast("int")).withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")))
-    left = held.select("h", F.col("cell").alias("i"), F.explode(F.sequence("cell", F.col("cells") - 1)).alias("j"), F.col("id").alias("a"), F.col("size").alias("na"), F.col("pos").alias("pa"))
-    right = held.select("h", F.explode(F.sequence(F.lit(0), "cell")).alias("i"), F.col("cell").alias("j"), F.col("id").alias("b"), F.col("size").alias("nb"), F.col("pos").alias("pb"))
-    # after the first shared shingle, what is left of the shorter side must still reach the overlap the threshold asks for
-    needed = threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-6
-    near = (
-        left.join(right, ["h", "i", "j"])
-        .where((F.col("a") != F.col("b")) & ((F.col("i") != F.col("j")) | (F.col("a") < F.col("b"))) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= needed))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
+    reps = hashed.join(classes.select(F.col("rep").alias("node")), "node", "left_semi").where(F.size("shingles") > 0)
+    sets = cut(reps.select(F.monotonically_increasing_id().alias("id"), "node", "simhash", "shingles"))
+    near = table_candidates(sets)
+    if beyond:
+        near = near.unionByName(prefix_candidates(sets, threshold))
     shared = F.size(F.array_intersect("sa", "sb"))
     pairs = (
-        near.join(sets.select(F.col("id").alias("a"), F.col("node").alias("left"), F.col("shingles").alias("sa")), "a")
+        near.distinct()
+        .join(sets.select(F.col("id").alias("a"), F.col("node").alias("left"), F.col("shingles").alias("sa")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("node").alias("right"), F.col("shingles").alias("sb")), "b")
         .where(shared / (F.size("sa") + F.size("sb") - shared) >= threshold)
         .select(F.least("left", "right").alias("left_node"), F.greatest("left", "right").alias("right_node"))
     )
     return pairs.unionByName(members)
-
-
-def propagate(seeds: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels (node, label) carried from the seeds to everything their connected components hold.
-
-    A breadth-first frontier: each round joins only the newest nodes with the
-    links, and ends when none is new. A node reached by several labels in one
-    round keeps the least. Rounds are cut by checkpoints.
-    """
-    both = cut(links.select(F.col("left_node").alias("node"), F.col("right_node").alias("other")).unionByName(links.select(F.col("right_node").alias("node"), F.col("left_node").alias("other"))))
-    known = cut(seeds.select("node", "label").groupBy("node").agg(F.min("label").alias("label")))
-    frontier = known
-    while not both.isEmpty():
-        fresh = frontier.join(both, "node").select(F.col("other").alias("node"), "label").join(known, "node", "left_anti").groupBy("node").agg(F.min("label").alias("label"))
-        frontier = cut(fresh)
-        if frontier.isEmpty():
-            break
-        known = cut(known.unionByName(frontier))
-    return known

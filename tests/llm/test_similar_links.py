@@ -4,11 +4,15 @@ import pytest
 from codeweft.llm import near_dup, residue
 
 
-def test_first_near_duplicate_fixture_gets_its_label(spark):
+def test_near_duplicate_passages_conduct(spark):
     rng = random.Random(2)
-    long = " ".join(rng.choice(residue.LOREM.split()) for _ in range(300))
-    found = residue.residue_documents(spark.createDataFrame([(1, long), (2, long + " wenting")], "doc_id long, text string")).collect()
-    assert {r.doc_id: (r.label, r.seeded) for r in found} == {1: ("filler", True), 2: ("filler", False)}
+    words = " ".join(chr(97 + rng.randrange(26)) * 3 for _ in range(300))
+    texts = [(1, f"404 not found. {words}"), (2, "zz zz " + words + " wenting"), (3, "plain text on graphs")]
+    found = residue.residue_documents(spark.createDataFrame(texts[:1] + [(2, "zz " + words[4:-4] + " wenting")] + texts[2:], "doc_id long, text string")).collect()
+    assert not found  # two words of three hundred are no trusted share
+    rows = [(1, "404 not found. " + " ".join(words.split()[:20])), (2, "zz " + " ".join(words.split()[:20]) + " wenting"), (3, "plain text on graphs")]
+    found = residue.residue_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.label, r.seeded) for r in found} == {1: ("error_page", True), 2: ("error_page", False)}
 
 
 @pytest.mark.parametrize("frequent", [0, 20, 100_000])
