@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.operators.buckets import CELL, in_cells
-from codeweft.tables import cut
+from codeweft.operators.buckets import CELL, celled
+from codeweft.tables import cut, small
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -112,67 +112,77 @@ def _prefixes(threshold: float, frequent: list[tuple[int, int]]):
     return prefixes
 
 
-def _met(placed: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
-    """Every two rows of a bucket as one row: id and ``carried`` of both, with a_ and b_."""
-    met = cut(in_cells(placed, keys, "id", CELL))
-    columns = ["id", *carried]
-    left = met.where("cell = i").select(*keys, "i", "j", *[F.col(c).alias(f"a_{c}") for c in columns])
-    right = met.where("cell = j").select(*keys, "i", "j", *[F.col(c).alias(f"b_{c}") for c in columns])
-    return left.join(right, [*keys, "i", "j"]).where("a_id <> b_id AND (i <> j OR a_id < b_id)")
+class NearTexts:
+    """Distinct ``texts`` (node, text) laid out so that near-duplicates of some or all can be found.
 
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
-
-
-def table_candidates(sets: DataFrame, hamming: int = HAMMING) -> DataFrame:
-    """Pairs (a < b) of ``sets`` (id, simhash) that share a bucket of some table and differ in at most ``hamming`` bits."""
-    tables = F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.lit(m).cast("bigint").bitwiseAND(F.col("simhash")).alias("bits")) for i, m in enumerate(block_masks())]))
-    placed = sets.select("id", "simhash", tables.alias("t")).select("id", "simhash", "t.no", "t.bits")
-    near = _met(placed, ["no", "bits"], ["simhash"]).where(F.bit_count(F.col("a_simhash").bitwiseXOR(F.col("b_simhash"))) <= hamming)
-    return _ordered(near)
-
-
-def prefix_candidates(sets: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """Pairs (a < b) of ``sets`` (id, shingles) among which is every pair that reaches the threshold.
-
-    With shingles in one order for all, rare ones first, two such sets share
-    one among the first of each, as many as the threshold lets differ and one
-    more. Only the order depends on how shingles are counted, so counts within
-    batches will do.
+    Two texts are near-duplicates if their shingle sets have a Jaccard
+    similarity of ``threshold``. Candidates come from partitioned SimHash
+    tables, verified by their Hamming distance; pairs that differ in more bits
+    come from prefixes (``beyond``): with shingles in one order for all, rare
+    ones first, two such sets share one among the first of each, as many as the
+    threshold lets differ and one more. So none is lost. (Only the order depends
+    on how shingles are counted, so counts within batches will do.) All are
+    verified by the similarity itself. Texts of equal sets are one class, and
+    its least node stands for it, so a page with a million copies doesn't pair
+    with itself. Crowded buckets are cut into cells.
     """
-    frequent = sets.select("shingles").mapInArrow(_repeated, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
-    prefix = sets.select("id", "shingles").mapInArrow(_prefixes(threshold, sorted((r["h"], r["n"]) for r in frequent)), "id bigint, size int, prefix array<bigint>")
-    met = _met(prefix.select("id", "size", F.posexplode("prefix").alias("pos", "h")), ["h"], ["size", "pos"])
-    # after the first shared shingle, what is left of the shorter side must still reach the overlap the threshold asks for
-    needed = threshold / (1 + threshold) * (F.col("a_size") + F.col("b_size")) - 1e-6
-    return _ordered(met.where(F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos")) >= needed))
 
+    def __init__(self, texts: DataFrame, threshold: float = SIMILARITY, hamming: int = HAMMING, beyond: bool = True) -> None:
+        self.threshold, self.hamming = threshold, hamming
+        kind = dict(texts.dtypes)["node"]
+        hashed = texts.select("node", "text").mapInArrow(_hashed, f"node {kind}, key binary, simhash bigint, shingles array<bigint>").persist()
+        classes = hashed.groupBy("key").agg(F.min("node").alias("rep"))
+        self.members = cut(hashed.select("node", "key").join(classes, "key").where("node <> rep").select("rep", "node"))
+        reps = hashed.join(classes.select(F.col("rep").alias("node")), "node", "left_semi").where(F.size("shingles") > 0)
+        self.sets = cut(reps.select(F.monotonically_increasing_id().alias("id"), "node", "simhash", "shingles"))
+        hashed.unpersist()
+        tables = F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.lit(m).cast("bigint").bitwiseAND(F.col("simhash")).alias("bits")) for i, m in enumerate(block_masks())]))
+        self.tables = cut(celled(self.sets.select("id", "simhash", tables.alias("t")).select("id", "simhash", "t.no", "t.bits"), ["no", "bits"], "id", CELL))
+        self.prefixes = None
+        if beyond:
+            frequent = self.sets.select("shingles").mapInArrow(_repeated, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+            prefix = self.sets.select("id", "shingles").mapInArrow(_prefixes(threshold, sorted((r["h"], r["n"]) for r in frequent)), "id bigint, size int, prefix array<bigint>")
+            self.prefixes = cut(celled(prefix.select("id", "size", F.posexplode("prefix").alias("pos", "h")), ["h"], "id", CELL))
+
+    def _met(self, placed: DataFrame, keys: list[str], carried: list[str], ids: DataFrame | None) -> DataFrame:
+        """Every two rows of a bucket as one row, id and ``carried`` of both with a_ and b_; with ``ids``, those whose a_id is one of them."""
+        columns = ["id", *carried]
+        asked = placed if ids is None else placed.join(small(ids), "id", "left_semi")
+        # a row of cell c meets all cells, or without ids those from c on
+        first = F.col("cell") if ids is None else F.lit(0)
+        left = asked.select(*keys, F.col("cell").alias("own"), F.explode(F.sequence(first, F.col("cells") - 1)).alias("cell"), *[F.col(c).alias(f"a_{c}") for c in columns])
+        right = placed.select(*keys, "cell", *[F.col(c).alias(f"b_{c}") for c in columns])
+        met = left.join(right, [*keys, "cell"]).where("a_id <> b_id")
+        return met.where("own <> cell OR a_id < b_id") if ids is None else met
+
+    def of(self, nodes: DataFrame | None = None) -> DataFrame:
+        """Links (node, other) of the given ``nodes`` with their near-duplicates; of all, each link once and node < other, if none are given."""
+        rep = F.coalesce("rep", "node")
+        asked = None
+        if nodes is not None:
+            asked = cut(nodes.join(self.members, "node", "left").select("node", rep.alias("rep")))
+            ids = cut(self.sets.join(small(asked.select(F.col("rep").alias("node")).distinct()), "node", "left_semi").select("id"))
+        else:
+            ids = None
+        near = self._met(self.tables, ["no", "bits"], ["simhash"], ids).where(F.bit_count(F.col("a_simhash").bitwiseXOR(F.col("b_simhash"))) <= self.hamming).select("a_id", "b_id")
+        if self.prefixes is not None:
+            met = self._met(self.prefixes, ["h"], ["size", "pos"], ids)
+            # after the first shared shingle, what is left of the shorter side must still reach the overlap the threshold asks for
+            needed = self.threshold / (1 + self.threshold) * (F.col("a_size") + F.col("b_size")) - 1e-6
+            near = near.unionByName(met.where(F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos")) >= needed).select("a_id", "b_id"))
+        near = near.distinct() if ids is not None else near.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id")).distinct()
+        shared = F.size(F.array_intersect("sa", "sb"))
+        side = lambda a: self.sets.select(F.col("id").alias(f"{a}_id"), F.col("node").alias(a), F.col("shingles").alias(f"s{a}"))
+        pairs = near.join(side("a"), "a_id").join(side("b"), "b_id").where(shared / (F.size("sa") + F.size("sb") - shared) >= self.threshold)
+        if asked is None:
+            links = pairs.select("a", "b").unionByName(self.members.toDF("a", "b"))
+            return links.select(F.least("a", "b").alias("node"), F.greatest("a", "b").alias("other"))
+        # to each near class and to the own one, and from classes to their members
+        classes = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(asked.select("rep", F.col("rep").alias("other"))).distinct()
+        whole = classes.unionByName(classes.join(self.members.select(F.col("rep").alias("other"), F.col("node").alias("member")), "other").select("rep", F.col("member").alias("other")))
+        return asked.join(whole, "rep").where("node <> other").select("node", "other")
 
-def similar_links(texts: DataFrame, threshold: float = SIMILARITY, beyond: bool = True) -> DataFrame:
-    """Links (left_node < right_node) of distinct ``texts`` (node, text) whose shingle sets have a Jaccard similarity of ``threshold``.
 
-    Candidates come from partitioned SimHash tables, verified by their Hamming
-    distance; pairs that differ in more bits come from prefixes (``beyond``),
-    so none is lost. All are verified by the similarity itself. Texts of equal
-    sets are one class, linked to its least node, which stands for it in all
-    other links, so a page with a million copies doesn't pair with itself.
-    """
-    kind = dict(texts.dtypes)["node"]
-    hashed = texts.select("node", "text").mapInArrow(_hashed, f"node {kind}, key binary, simhash bigint, shingles array<bigint>").persist()
-    classes = hashed.groupBy("key").agg(F.min("node").alias("rep"))
-    members = hashed.select("node", "key").join(classes, "key").where("node <> rep").select(F.col("rep").alias("left_node"), F.col("node").alias("right_node"))
-    reps = hashed.join(classes.select(F.col("rep").alias("node")), "node", "left_semi").where(F.size("shingles") > 0)
-    sets = cut(reps.select(F.monotonically_increasing_id().alias("id"), "node", "simhash", "shingles"))
-    near = table_candidates(sets)
-    if beyond:
-        near = near.unionByName(prefix_candidates(sets, threshold))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    pairs = (
-        near.distinct()
-        .join(sets.select(F.col("id").alias("a"), F.col("node").alias("left"), F.col("shingles").alias("sa")), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("node").alias("right"), F.col("shingles").alias("sb")), "b")
-        .where(shared / (F.size("sa") + F.size("sb") - shared) >= threshold)
-        .select(F.least("left", "right").alias("left_node"), F.greatest("left", "right").alias("right_node"))
-    )
-    return pairs.unionByName(members)
+def similar_links(texts: DataFrame, threshold: float = SIMILARITY, beyond: bool = True) -> DataFrame:
+    """All links (left_node < right_node) of ``NearTexts``: between class representatives, and from each to its members."""
+    return NearTexts(texts, threshold, beyond=beyond).of().toDF("left_node", "right_node")

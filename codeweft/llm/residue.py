@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.llm.near_dup import SHINGLE_WORDS, similar_links
+from codeweft.llm.near_dup import SHINGLE_WORDS, NearTexts
 from codeweft.tables import cut, small
 
 # ---- places that were never filled in (fixed patterns, one a template syntax)
@@ -92,10 +92,21 @@ def _places() -> tuple[re.Pattern, re.Pattern]:
 EXACT, LOOSE = _places()
 CODE = re.compile(r"(?:^|(?<=\n))[ \t]*(```|~~~).*?(?:\n[ \t]*\1|\Z)|```.*?(?:```|\Z)|``.*?``|`[^`\n]*`", re.S)
 TAG = re.compile(r"</?[a-z][a-z0-9]*(?:\s+[a-z-]+=\"[^\"]*\")*\s*/?>", re.I)
+#: What a place begins with: tried first, as most texts hold none.
+BEGINS, BEGINS_EXACT = re.compile(r"[{<$#%\[(«]"), ("@@", "$$", "__", "XX", "%")
+
+
+def without_code(text: str, instead: str = " ") -> str:
+    """The text with ``instead`` for what is in backticks or a code fence."""
+    return CODE.sub(instead, text) if "`" in text or "~~~" in text else text
+
+
 def open_place(text: str) -> bool:
     """Whether a value was never filled in, outside backticks and code fences."""
-    bare = CODE.sub(" ", text)
-    return bool(EXACT.search(bare) or LOOSE.search(bare))
+    bare = without_code(text)
+    if any(LOOSE.match(bare, m.start()) for m in BEGINS.finditer(bare)) or any(x in bare for x in BEGINS_EXACT) and EXACT.search(bare):
+        return True
+    return "undefined" in bare.lower() and bool(LOOSE.search(bare))
 
 
 class Passage(tuple):
@@ -148,7 +159,7 @@ def clauses(text: str) -> Iterator[tuple[str, bool, bool]]:
     comments, lines in parentheses, and names of fields that stand below one
     another with nothing to them.
     """
-    bare, comments = comments_out(CODE.sub(" 0 ", text) if "`" in text or "~~~" in text else text)
+    bare, comments = comments_out(without_code(text, " 0 "))
     lines = [line.strip() for line in MASKED.sub(" 0 ", TAG.sub(" ", bare) if "<" in bare else bare).lower().split("\n")]
     titled = len(lines) > 1 and not lines[1] and not re.search(r"[.!?:;,]$", lines[0]) and len(lines[0].split()) <= 12
     blank = [bool(FIELD.fullmatch(line)) for line in lines]
@@ -223,42 +234,42 @@ def _most(names: list[str]) -> Column:
     return reduce(lambda rest, k: F.when(F.col(names[k]) == best, k).otherwise(rest), range(len(names) - 2, -1, -1), F.lit(len(names) - 1))
 
 
-def spread_labels(texts: DataFrame, links: DataFrame) -> DataFrame:
+def spread_labels(texts: DataFrame, near: NearTexts | None = None) -> DataFrame:
     """(node, label) of the texts that trusted labels reach through connected components of texts and passages.
 
     ``texts``: node, label (-1 for none), words, h, opening, closing, kinds (a
     passage in each place of the arrays). A text is linked with its passages
-    and with their openings and closings; ``links`` (left_node, right_node)
-    join near-duplicate passages. A passage conducts if enough of its texts are
+    and with their openings and closings; passages are linked with their
+    near-duplicates (``near``, whose nodes are the passages' hashes). A passage
+    conducts if enough of its texts are
     labelled, a text takes a label if enough of its words are in conducting
     passages, counted among those that other texts have too: so a page frame
     or a quoted notice around content of its own labels nothing. Each round
     starts from what the last one labelled and ends when that is nothing;
     rounds are cut by checkpoints.
     """
-    n_kinds = len(KINDS)
-    counted = [f"c{k}" for k in range(n_kinds)]
+    counted = [f"c{k}" for k in range(len(KINDS))]
+    total = reduce(add, map(F.col, counted))
     per_kind = lambda amount: [F.sum(F.when(F.col("label") == k, amount).otherwise(0)).alias(c) for k, c in enumerate(counted)]
     places = texts.select("node", F.explode(F.array_distinct(F.concat("h", "opening", "closing"))).alias("f"))
     common = cut(places.groupBy("f").agg(F.count(F.lit(1)).alias("n_texts")).where("n_texts > 1"))
-    both = links.toDF("f", "g").unionByName(links.toDF("g", "f")) if links is not None else None
     held = cut(texts.where("label >= 0").select("node", "label", "kinds", "h"))
     labelled = frontier = held.select("node", "label")
-    known = cut(held.select(F.explode(F.arrays_zip("h", "kinds")).alias("p")).where("p.kinds >= 0").select(F.col("p.h").alias("f"), F.col("p.kinds").cast("int").alias("label")).groupBy("f").agg(F.min("label").alias("label")))
-    tally, fresh = None, None
+    seeds = held.select(F.explode(F.arrays_zip("h", "kinds")).alias("p")).where("p.kinds >= 0").select(F.col("p.h").alias("f"), F.col("p.kinds").cast("int").alias("label"))
+    known = cut(seeds.groupBy("f").agg(F.min("label").alias("label")))
+    tally, begun = None, False
     while not frontier.isEmpty():
         told = places.join(small(frontier), "node").groupBy("f").agg(*per_kind(1))
         tally = cut(told if tally is None else tally.unionByName(told).groupBy("f").agg(*[F.sum(c).alias(c) for c in counted]))
-        total = reduce(add, map(F.col, counted))
-        conducts = tally.join(common, "f").where(total >= CONDUCTING_SHARE * F.col("n_texts")).select("f", _most(counted).alias("label")).join(known.select("f"), "f", "left_anti")
-        if both is not None:
-            near = conducts.unionByName(known).join(both, "f").select(F.col("g").alias("f"), "label").join(known.select("f"), "f", "left_anti")
-            conducts = conducts.unionByName(near).groupBy("f").agg(F.min("label").alias("label"))
-        conducts = cut(conducts)
-        known, fresh = cut(known.unionByName(conducts)), conducts if fresh is not None else None
-        reached = known if fresh is None else fresh
-        fresh = conducts
-        asked = places.join(small(reached.select("f")), "f", "left_semi").select("node").distinct().join(labelled.select("node"), "node", "left_anti")
+        enough = tally.join(common, "f", "left").where(total >= CONDUCTING_SHARE * F.coalesce("n_texts", F.lit(1))).select("f", _most(counted).alias("label")).join(known.select("f"), "f", "left_anti")
+        fresh = cut(enough if begun else known.unionByName(enough))
+        begun = True
+        if near is not None:
+            links = near.of(fresh.select(F.col("f").alias("node")))
+            alike = fresh.join(links.toDF("f", "g"), "f").select(F.col("g").alias("f"), "label").join(known.select("f"), "f", "left_anti")
+            fresh = cut(fresh.unionByName(alike).groupBy("f").agg(F.min("label").alias("label")))
+        known = cut(known.unionByName(fresh.join(known.select("f"), "f", "left_anti")))
+        asked = places.join(small(fresh.select("f")), "f", "left_semi").select("node").distinct().join(labelled.select("node"), "node", "left_anti")
         passages = texts.join(small(cut(asked)), "node", "left_semi").select("node", F.posexplode(F.arrays_zip("words", "h", "opening", "closing")).alias("at", "p"))
         parts = passages.select("node", "at", "p.words", F.explode(F.array_distinct(F.array("p.h", "p.opening", "p.closing"))).alias("f"))
         seen = parts.join(common.select("f", F.lit(True).alias("shared")), "f", "left").join(known, "f", "left").groupBy("node", "at").agg(F.first("words").alias("words"), F.min("label").alias("label"), F.max("shared").alias("shared"))
@@ -287,7 +298,7 @@ def residue_documents(documents: DataFrame) -> DataFrame:
     rows = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.unhex(F.md5("text")).alias("node"))
     read = rows.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(_read, READ).persist()
     passages = read.select(F.explode(F.arrays_zip("told", "fresh")).alias("p")).groupBy(F.col("p.told").alias("node")).agg(F.first("p.fresh").alias("text"))
-    spread = spread_labels(read.where("NOT place").select("node", "label", "words", "h", "opening", "closing", "kinds"), similar_links(passages))
+    spread = spread_labels(read.where("NOT place").select("node", "label", "words", "h", "opening", "closing", "kinds"), NearTexts(passages))
     own = read.where("place OR label >= 0").select("node", F.lit(True).alias("seeded"))
     names = F.element_at(F.array(*map(F.lit, KINDS)), F.col("label") + 1)
     held = read.where("place").select("node", F.lit("placeholder").alias("label")).unionByName(spread.select("node", names.alias("label"))).join(own, "node", "left")

@@ -10,7 +10,8 @@ def test_near_duplicate_passages_conduct(spark):
     texts = [(1, f"404 not found. {words}"), (2, "zz zz " + words + " wenting"), (3, "plain text on graphs")]
     found = residue.residue_documents(spark.createDataFrame(texts[:1] + [(2, "zz " + words[4:-4] + " wenting")] + texts[2:], "doc_id long, text string")).collect()
     assert not found  # two words of three hundred are no trusted share
-    rows = [(1, "404 not found. " + " ".join(words.split()[:20])), (2, "zz " + " ".join(words.split()[:20]) + " wenting"), (3, "plain text on graphs")]
+    long = " ".join("abcdefghijklmnopqrs"[i] * 3 for i in range(16))
+    rows = [(1, "404 not found. " + long), (2, "zz " + long + " wenting"), (3, "plain text on graphs")]
     found = residue.residue_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.label, r.seeded) for r in found} == {1: ("error_page", True), 2: ("error_page", False)}
 
@@ -41,3 +42,17 @@ def test_similar_links_have_every_pair_of_the_threshold(spark, monkeypatch, freq
                 want.add((a, b))
                 far += (near_dup.simhash(texts[int(a[1:])]) ^ near_dup.simhash(texts[int(b[1:])])).bit_count() > near_dup.HAMMING
     assert got == want and far > 5
+
+
+def test_near_texts_of_some_nodes(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "CELL", 2)
+    base = [f"w{i}" for i in range(80)]
+    texts = [(n, " ".join(base[:i] + [f"v{n}"] * (i > 0) + base[i + (i > 0) :])) for n, i in enumerate([0, 0, 5, 9, 14, 0])]
+    texts += [(6, " ".join(base).upper()), (7, "other words"), (8, "Other, words!")]
+    near = near_dup.NearTexts(spark.createDataFrame(texts, "node long, text string").dropDuplicates(["text"]))
+    got = {(r.node, r.other) for r in near.of(spark.createDataFrame([(2,), (6,), (8,)], "node long")).collect()}
+
+    present = {r.node for r in near.sets.select("node").unionByName(near.members.select("node")).collect()}
+
+    want = {(a, b) for a in (2, 6, 8) if a in present for b in present if a != b and near_dup.jaccard(near_dup.shingles(dict(texts)[a]), near_dup.shingles(dict(texts)[b])) >= 0.8}
+    assert got == want and len(want) > 3
