@@ -6,14 +6,16 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.tables import cut
 
 #: Formats that are never a case, as they hold no code.
 NO_CODE = ("json", "toml", "md")
-#: Shared code of fewer characters, in a file or in a whole folder, tells nothing: an empty package file is in every project.
+#: Of several rules that hold, the first names the file.
+RULES = ("shared_tree", "shared_code", "vendored_header", "vendored_folder", "generated_header", "generated_name", "minified", "data", "generated_layout")
+#: Shared content of fewer characters, in a file or in a whole folder, tells nothing: an empty package file is in every project.
 LEAST_SHARED = 200
 
 # ---- what tools and importers write at the head or the end of a file (fixed patterns)
@@ -85,7 +87,7 @@ def code_of(text: str) -> str:
 def minified(text: str) -> bool:
     """Squeezed code: hardly a blank, long lines, most names one or two letters."""
     body = text[head(text)[1] :].strip()
-    if len(body) < 300:
+    if not body:
         return False
     lines = body.count("\n") + 1
     blank = sum(map(body.count, " \t\n")) / len(body)
@@ -99,11 +101,9 @@ def minified(text: str) -> bool:
 def data_blob(text: str) -> bool:
     """Nothing but literals: a handful of names around many numbers, or around long strings that aren't prose."""
     body = text[head(text)[1] :]
-    if len(body) < 300:
-        return False
     literals = LITERAL.findall(body)
     size = sum(map(len, literals))
-    if size < 0.3 * len(body):
+    if not body or size < 0.3 * len(body):
         return False
     names = NAME.findall(LITERAL.sub(" ", body))
     strings = [s for s in literals if s[0] in "\"'`"]
@@ -164,20 +164,23 @@ def _examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     for batch in batches:
-        rules, hashes, sizes = [], [], []
+        rules, whole, sizes, coded = [], [], [], []
         for path, text, repo in zip(*(batch.column(c).to_pylist() for c in ("file_path", "content", "repo_key"))):
             rules.append(squeezed_or_written(path, text, repo or ""))
             code = code_of(text.replace("\r\n", "\n"))
-            sizes.append(len(code) if path.rsplit(".", 1)[-1].lower() not in NO_CODE else 0)
-            hashes.append(xxhash.xxh3_64_intdigest(code) - 2**63 if sizes[-1] else None)
+            whole.append(xxhash.xxh3_64_intdigest(code) - 2**63 if code else None)
+            sizes.append(len(code))
+            coded.append(bool(code) and path.rsplit(".", 1)[-1].lower() not in NO_CODE)
         kept = [batch.column(c) for c in ("file_id", "repo_key", "file_path", "ingested_at")]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(rules, pa.string()), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int64())], names=["file_id", "repo_key", "file_path", "ingested_at", "rule", "code_hash", "code_size"])
+        columns = [pa.array(rules, pa.string()), pa.array(whole, pa.int64()), pa.array(sizes, pa.int64()), pa.array(coded)]
+        yield pa.RecordBatch.from_arrays([*kept, *columns], names=["file_id", "repo_key", "file_path", "ingested_at", "rule", "whole_hash", "whole_size", "coded"])
 
 
 def merkle_levels(files: DataFrame, depth: int) -> DataFrame:
-    """Hashes of all folders: repo_key, folder, level, tree_hash, n_files, code_size.
+    """Hashes of all folders: repo_key, folder, level, n_files and, over all files and over those with code alone, tree_hash, tree_size, code_hash, code_size.
 
-    ``files``: repo_key, file_path, code_hash, code_size; those below ``depth``
+    ``files``: repo_key, file_path, whole_hash, whole_size, and code_hash,
+    code_size (null for data files); those below ``depth``
     folders count for the folder at that depth. The root is the folder '' at
     level 0. Bottom-up, a folder's hash is
     that of the multiset of its children's hashes; names don't enter, since
@@ -185,27 +188,25 @@ def merkle_levels(files: DataFrame, depth: int) -> DataFrame:
     before the shuffle, so a folder with a third of all files is no hot group.
     """
     parts = F.split("file_path", "/")
-    nodes = files.where("code_hash IS NOT NULL").select(
-        "repo_key", F.slice(parts, 1, F.least(F.size(parts) - 1, F.lit(depth))).alias("dirs"), F.col("code_hash").alias("h"), F.lit(1).cast("bigint").alias("n_files"), "code_size"
-    )
+    kept = [F.col("whole_hash").alias("t"), "whole_size", F.col("code_hash").alias("c"), "code_size"]
+    nodes = files.select("repo_key", F.slice(parts, 1, F.least(F.size(parts) - 1, F.lit(depth))).alias("dirs"), F.lit(1).cast("bigint").alias("n_files"), *kept)
+
+    def multiset(h: str) -> list[Column]:
+        return [F.bit_xor(h).alias(f"{h}x"), F.sum(F.shiftright(h, 32)).alias(f"{h}u"), F.sum(F.col(h).bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"{h}l"), F.count(h).alias(f"{h}n")]
+
+    def hashed(h: str) -> Column:
+        return F.when(F.col(f"{h}n") > 0, F.xxhash64(*[f"{h}{part}" for part in "xuln"])).alias(h)
+
     levels = below = None
     for level in range(depth, -1, -1):
         at = nodes.where(F.size("dirs") == level)
         if below is not None:
-            at = at.unionByName(below.select("repo_key", F.slice("dirs", 1, level).alias("dirs"), "h", "n_files", "code_size"))
+            at = at.unionByName(below.withColumn("dirs", F.slice("dirs", 1, level)))
+        sums = [F.sum(c).alias(c) for c in ("n_files", "whole_size", "code_size")]
         below = cut(  # a row a folder: each level is made once
-            at.groupBy("repo_key", "dirs")
-            .agg(
-                F.bit_xor("h").alias("x"),
-                F.sum(F.shiftright("h", 32)).alias("up"),
-                F.sum(F.col("h").bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"),
-                F.count(F.lit(1)).alias("n"),
-                F.sum("n_files").alias("n_files"),
-                F.sum("code_size").alias("code_size"),
-            )
-            .select("repo_key", "dirs", F.xxhash64("x", "up", "low", "n").alias("h"), "n_files", "code_size")
+            at.groupBy("repo_key", "dirs").agg(*multiset("t"), *multiset("c"), *sums).select("repo_key", "dirs", "n_files", hashed("t"), "whole_size", hashed("c"), "code_size")
         )
-        own = below.select("repo_key", F.array_join("dirs", "/").alias("folder"), F.lit(level).alias("level"), F.col("h").alias("tree_hash"), "n_files", "code_size")
+        own = below.select("repo_key", F.array_join("dirs", "/").alias("folder"), F.lit(level).alias("level"), "n_files", F.col("t").alias("tree_hash"), F.col("whole_size").alias("tree_size"), F.col("c").alias("code_hash"), "code_size")
         levels = own if levels is None else levels.unionByName(own)
     return levels
 
@@ -229,19 +230,22 @@ def shared_hashes(hashed: DataFrame) -> DataFrame:
 def not_handwritten(source_files: DataFrame, depth: int | None = None) -> DataFrame:
     """Files nobody of the project wrote by hand: file_id, rule.
 
-    rule: generated_header, vendored_header, vendored_folder, generated_name,
-    minified, data, generated_layout by the file alone; shared_code if an unrelated
-    repository holds the same code, of LEAST_SHARED characters or more;
-    shared_tree if it lies, however short, in a folder whose whole tree of so
-    much code an unrelated repository holds (Merkle hashes, to ``depth``
-    folders, by default those of the deepest file). `.json`, `.toml` and `.md` are never a case, nor is a file
-    without content. Rows with a null file_id, file_path or content are
-    ignored; of several rows of a file_id that of the last ingested_at holds;
-    a null repo_key belongs to no repository; an empty table gives no rows.
+    rule, the first of RULES that holds: shared_tree if the file lies, however
+    short, in a folder whose whole tree an unrelated repository holds (Merkle
+    hashes, over all files or over those with code, to ``depth`` folders, by
+    default those of the deepest file); shared_code if an unrelated repository
+    holds the same code; then what the file shows alone: vendored_header,
+    vendored_folder, generated_header, generated_name, minified, data,
+    generated_layout. Less shared content than LEAST_SHARED characters, in the
+    file or the whole tree, tells nothing. `.json`, `.toml` and `.md` are part
+    of trees but never a case, nor is a file without content. Rows with a null
+    file_id, file_path or content are ignored; of several rows of a file_id
+    that of the last ingested_at holds; a null repo_key belongs to no
+    repository; an empty table gives no rows.
     """
     rows = source_files.where("file_id IS NOT NULL AND file_path IS NOT NULL AND content IS NOT NULL").select("file_id", "repo_key", "file_path", "content", "ingested_at")
-    schema = f"file_id bigint, repo_key string, file_path string, ingested_at {dict(rows.dtypes)['ingested_at']}, rule string, code_hash bigint, code_size bigint"
-    facts = ["repo_key", "file_path", "rule", "code_hash", "code_size"]
+    schema = f"file_id bigint, repo_key string, file_path string, ingested_at {dict(rows.dtypes)['ingested_at']}, rule string, whole_hash bigint, whole_size bigint, coded boolean"
+    facts = ["repo_key", "file_path", "rule", "whole_hash", "whole_size", "coded"]
     files = (
         rows.mapInArrow(_examine, schema)
         .groupBy("file_id")
@@ -249,20 +253,19 @@ def not_handwritten(source_files: DataFrame, depth: int | None = None) -> DataFr
         .select("file_id", *[F.col(f"last.{c}").alias(c) for c in facts])
         .persist()
     )
-    hashed = files.where("code_hash IS NOT NULL AND repo_key IS NOT NULL")
+    hashed = files.where("whole_hash IS NOT NULL AND repo_key IS NOT NULL")
     parts = F.split("file_path", "/")
     if depth is None:
         depth = (hashed.agg(F.max(F.size(parts))).first()[0] or 1) - 1
-    alone = hashed.where(F.col("code_size") >= LEAST_SHARED)
-    same_code = shared_hashes(alone.select("repo_key", F.col("code_hash").alias("h")))
-    levels = merkle_levels(hashed, depth).where(F.col("code_size") >= LEAST_SHARED)
-    same_tree = levels.join(shared_hashes(levels.select("repo_key", F.col("tree_hash").alias("h"))).withColumnRenamed("h", "tree_hash"), "tree_hash", "left_semi").select("repo_key", "folder").distinct()
-    by_rule = files.where("rule IS NOT NULL").select("file_id", "rule")
-    by_code = alone.join(same_code.withColumnRenamed("h", "code_hash"), "code_hash", "left_semi").select("file_id", F.lit("shared_code").alias("rule"))
+    of_code = lambda c: F.when(F.col("coded"), F.col(c))
+    levels = merkle_levels(hashed.select("repo_key", "file_path", "whole_hash", "whole_size", of_code("whole_hash").alias("code_hash"), of_code("whole_size").alias("code_size")), depth)
+    folders = [levels.where(F.col(f"{k}_size") >= LEAST_SHARED).select("repo_key", "folder", F.col(f"{k}_hash").alias("h")) for k in ("tree", "code")]
+    same_tree = folders[0].join(shared_hashes(folders[0]), "h", "left_semi").unionByName(folders[1].join(shared_hashes(folders[1]), "h", "left_semi")).select("repo_key", "folder").distinct()
+    coded = hashed.where("coded")
     above = F.transform(F.sequence(F.lit(0), F.least(F.size(parts) - 1, F.lit(depth))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-    by_tree = (
-        hashed.select("file_id", "repo_key", F.explode(above).alias("folder"))
-        .join(same_tree, ["repo_key", "folder"], "left_semi")
-        .select("file_id", F.lit("shared_tree").alias("rule"))
-    )
-    return by_rule.unionByName(by_code).unionByName(by_tree).groupBy("file_id").agg(F.min("rule").alias("rule"))
+    by_tree = coded.select("file_id", "repo_key", F.explode(above).alias("folder")).join(same_tree, ["repo_key", "folder"], "left_semi").select("file_id", F.lit("shared_tree").alias("rule"))
+    alone = coded.where(F.col("whole_size") >= LEAST_SHARED).select("file_id", "repo_key", F.col("whole_hash").alias("h"))
+    by_code = alone.join(shared_hashes(alone), "h", "left_semi").select("file_id", F.lit("shared_code").alias("rule"))
+    by_rule = files.where("rule IS NOT NULL").select("file_id", "rule")
+    place = F.array_position(F.array(*map(F.lit, RULES)), F.col("rule"))
+    return by_tree.unionByName(by_code).unionByName(by_rule).groupBy("file_id").agg(F.min(place).alias("place")).select("file_id", F.element_at(F.array(*map(F.lit, RULES)), F.col("place").cast("int")).alias("rule"))

@@ -26,3 +26,20 @@ def test_forks_and_changed_trees_are_no_case(spark):
     fork = [("gh/a/x", f"p/{n}", t) for n, t in PACKAGE.items()] + [("gh/b/x", f"p/{n}", t) for n, t in PACKAGE.items()]
     changed = [("gh/c/z", f"p/{n}", t + "own = 1\n" * (n == "m0.py")) for n, t in PACKAGE.items()]
     assert found(spark, fork + changed) == {}
+
+
+def test_data_files_are_part_of_trees_but_no_case(spark):
+    data = '{"names": [' + ", ".join(f'"name{i}"' for i in range(40)) + "]}"
+    tree = {"a.py": "from . import b\n", "names.json": data}
+    ours, theirs = [("gh/a/x", f"p/{n}", t) for n, t in tree.items()], [("gh/b/y", f"q/r/{n}", t) for n, t in tree.items()]
+    own = [("gh/b/y", "own.py", "print(1)\n"), ("gh/a/x", "own.py", "print(2)\n")]
+    assert found(spark, ours + theirs + own) == {0: "shared_tree", 2: "shared_tree"}
+    other = [("gh/c/z", "s/a.py", tree["a.py"]), ("gh/c/z", "s/names.json", data.replace("name7", "name8"))]
+    assert found(spark, ours + other) == {}
+
+
+def test_the_tree_comes_before_what_a_file_shows_alone(spark):
+    header = "// Code generated by tool. DO NOT EDIT.\n"
+    files = [(r, f"{d}/{n}.go", header + f"package p\n\nfunc F{n}() string {{ return \"{'x' * 150}\" }}\n") for r, d in (("gh/a/x", "p"), ("gh/b/y", "q")) for n in "ab"]
+    own = [(r, "own.go", f"package {r[-1]}\n") for r in ("gh/a/x", "gh/b/y")]
+    assert found(spark, files + own + [("gh/c/z", "g.go", header + "package g\n")]) == {**dict.fromkeys(range(4), "shared_tree"), 6: "generated_header"}
