@@ -83,9 +83,10 @@ def snapshot_changes(rows: DataFrame, index: DataFrame, signature: Column | None
     roles = pairs.select("repo_key", F.col("base_commit").alias("commit_id"), F.col("pair").alias("as_base"), none.alias("as_head")).unionByName(
         pairs.select("repo_key", F.col("head_commit").alias("commit_id"), none.alias("as_base"), F.col("pair").alias("as_head"))
     )
-    roles = cut(roles.groupBy("repo_key", "commit_id").agg(F.max("as_base").alias("as_base"), F.max("as_head").alias("as_head")))
-    placed = known.join(small(roles), ["repo_key", "commit_id"]).select("as_base", "as_head", *_id_hashes("entity_id"), "delivered_at", signature.alias("sig"), body.alias("body"))
-    current = latest_rows(placed, ["as_base", "as_head", "e1", "e2"], "delivered_at", ["sig", "body"])
+    roles = roles.groupBy("repo_key", "commit_id").agg(F.max("as_base").alias("as_base"), F.max("as_head").alias("as_head"))
+    roles = cut(roles.withColumn("snapshot", F.coalesce(F.col("as_base") * 2, F.col("as_head") * 2 + 1)))
+    placed = known.join(small(roles), ["repo_key", "commit_id"]).select("snapshot", *_id_hashes("entity_id"), "delivered_at", signature.alias("sig"), body.alias("body"))
+    current = latest_rows(placed, ["snapshot", "e1", "e2"], "delivered_at", ["sig", "body"]).join(small(roles.select("snapshot", "as_base", "as_head")), "snapshot")
     both = F.explode(F.array(F.struct(F.col("as_base").alias("pair"), F.lit(-1).alias("side")), F.struct(F.col("as_head").alias("pair"), F.lit(1).alias("side"))))
     sides = current.select(both.alias("r"), "e1", "e2", F.xxhash64("sig").alias("s"), F.xxhash64("body").alias("b")).select("r.*", "e1", "e2", "s", "b").where("pair IS NOT NULL")
     key = ["pair", "e1", "e2"]
@@ -100,7 +101,7 @@ def snapshot_changes(rows: DataFrame, index: DataFrame, signature: Column | None
         .otherwise("body_changed")
         .alias("change_kind"),
     )
-    asked = residue.select("e1", "e2").distinct()
+    asked = residue.select("e1", "e2")
     names = known.select(*_id_hashes("entity_id"), "entity_id").join(small(asked), ["e1", "e2"], "left_semi").distinct()
     return changes.join(small(pairs), "pair").join(names, ["e1", "e2"]).select("repo_key", "base_commit", "head_commit", "entity_id", "change_kind")
 
