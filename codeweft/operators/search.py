@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions.text import TYPE_KINDS, basename, search_words, sparse_tokens, term_tokens
+from codeweft.tables import cut
 
 K1, B = 1.2, 0.75
 CHUNK_LINES, CHUNK_STRIDE = 80, 60
@@ -96,13 +97,21 @@ def build_query(text: str) -> Query:
     return query
 
 
+def _held(terms: DataFrame) -> list[tuple[str, float]]:
+    """The terms of one query with their weights; more than a query has are refused."""
+    held = [(r["term"], r["weight"]) for r in terms.limit(SPARSE_TERM_CAP + 1).collect()]
+    if len(held) > SPARSE_TERM_CAP:
+        raise ValueError(f"a query has at most {SPARSE_TERM_CAP} terms; use the batch form for more")
+    return held
+
+
 def document_frequency(documents: DataFrame, terms: DataFrame) -> DataFrame:
     """In how many documents (doc_id, path, body) each term occurs, in body or path, as a substring: term, weight, df, n_docs, idf.
 
     ``terms`` is a query's, at most some dozens: the scan tests them all and
     only counts leave a task.
     """
-    held = [(r["term"], r["weight"]) for r in terms.limit(SPARSE_TERM_CAP + 1).collect()]
+    held = _held(terms)
     text = F.lower(F.concat_ws("\n", "path", "body"))
     counts = documents.agg(F.count(F.lit(1)).alias("n_docs"), *[F.count_if(text.contains(t)).alias(f"t{i}") for i, (t, _) in enumerate(held)])
     rows = F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.lit(w).alias("weight"), F.col(f"t{i}").alias("df")) for i, (t, w) in enumerate(held)]))
@@ -111,14 +120,12 @@ def document_frequency(documents: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def term_counts(regions: DataFrame, terms: DataFrame, tokens: Column | None = None) -> DataFrame:
-    """(region_id, length, term, tf) of regions (region_id, body): token variants counted, length of all of them."""
-    counted = regions.select("region_id", (term_tokens(F.col("body")) if tokens is None else tokens).alias("tokens"))
-    wanted = [r["term"] for r in terms.select("term").limit(SPARSE_TERM_CAP + 1).collect()]
-    def count(term: str) -> Column:
-        return F.size(F.filter("tokens", lambda x: x == F.lit(term)))
-
-    tf = F.array(*[F.struct(F.lit(t).alias("term"), count(t).alias("tf")) for t in wanted])
-    return counted.select("region_id", F.size("tokens").alias("length"), F.inline(tf))
+    """(region_id, length, term, tf) of regions (region_id, body): token variants counted, length of all of them; a region without any term gives one row with a null term."""
+    wanted = [t for t, _ in _held(terms)]
+    counted = regions.select("region_id", (term_tokens(F.col("body")) if tokens is None else tokens).alias("tokens")).select(
+        "region_id", F.size("tokens").alias("length"), F.filter("tokens", lambda t: t.isin(*wanted)).alias("own")
+    )
+    return counted.select("region_id", "length", F.explode_outer("own").alias("term")).groupBy("region_id", "length", "term").agg(F.count("term").alias("tf"))
 
 
 def bm25(regions: DataFrame, documents: DataFrame, terms: DataFrame, sparse: bool = False) -> DataFrame:
@@ -127,7 +134,7 @@ def bm25(regions: DataFrame, documents: DataFrame, terms: DataFrame, sparse: boo
     Frequencies are those of the regions, document frequencies those of the
     documents, the average length that of all regions.
     """
-    counts = term_counts(regions, terms, sparse_tokens(F.col("body")) if sparse else None)
+    counts = cut(term_counts(regions, terms, sparse_tokens(F.col("body")) if sparse else None))  # else the average would find the tokens again
     average = counts.groupBy("region_id").agg(F.max("length").alias("length")).agg(F.avg(F.greatest("length", F.lit(1))).alias("average"))
     idf = document_frequency(documents, terms).select("term", "weight", (F.col("idf") * F.col("weight")).alias("w"))
     whole = idf.agg(F.sum("w").alias("all_w"))

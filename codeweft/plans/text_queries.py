@@ -174,6 +174,41 @@ idf AS (SELECT term, any_value(weight) AS weight, count(*) FILTER (contains(lowe
   FROM docs, terms, n GROUP BY term)"""
 
 
+def _spaced(word: str, rules: list[tuple[str, str]]) -> str:
+    """SQL that puts blanks at the borders in a word."""
+    for pattern, instead in rules:
+        word = f"regexp_replace({word}, '{pattern}', '{instead}', 'g')"
+    return word
+
+
+CAMEL = [("([a-z0-9])([A-Z])", r"\1 \2"), ("([A-Z])([A-Z][a-z])", r"\1 \2")]
+SPARSE = [("_+", " "), ("([a-z])([A-Z])", r"\1 \2"), ("([A-Z])([A-Z][a-z])", r"\1 \2"), ("([0-9])([A-Za-z])", r"\1 \2"), ("([A-Za-z])([0-9])", r"\1 \2")]
+#: Tokens of a text, as SQL over ``body``.
+TERM_TOKENS = f"""[t FOR t IN flatten([list_distinct(list_concat([lower(w)], [x FOR x IN string_split_regex(lower(w), '[^a-z0-9]+') IF x <> ''], [x FOR x IN string_split_regex(lower({_spaced('w', CAMEL)}), '[^a-z0-9]+') IF x <> '']))
+  FOR w IN [regexp_replace(v, '^[./:-]+|[./:-]+$', '', 'g') FOR v IN regexp_extract_all(body, '[A-Za-z0-9_./:+#-]+')] IF w <> '']) IF strlen(t) >= 2]"""
+SPARSE_TOKENS = f"[t FOR t IN flatten([string_split(lower({_spaced('w', SPARSE)}), ' ') FOR w IN regexp_extract_all(body, '[A-Za-z][A-Za-z0-9_]*|[0-9]+')]) IF t <> '']"
+
+
+def _bm25_sql(regions: str, tokens: str) -> str:
+    """Common tables up to ``scored`` (region_id, bm25, coverage, score) over ``regions`` (region_id, body)."""
+    return f"""{_df()}, regions AS ({regions}), toks AS (SELECT region_id, {tokens} AS t FROM regions),
+lens AS (SELECT region_id, len(t) AS length FROM toks), mean AS (SELECT avg(greatest(length, 1)) AS average FROM lens),
+tf AS (SELECT region_id, term, count(*) AS tf FROM (SELECT region_id, unnest(t) AS term FROM toks) SEMI JOIN idf USING (term) GROUP BY ALL),
+w AS (SELECT term, weight, idf * weight AS w FROM idf), allw AS (SELECT sum(w) AS all_w FROM w),
+parts AS (SELECT region_id, sum(w * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * greatest(length, 1) / average)))) AS bm25, sum(w) AS covered, sum(CASE WHEN weight >= 2 THEN 6 * weight ELSE 0 END) AS code
+  FROM tf JOIN w USING (term) JOIN lens USING (region_id), mean GROUP BY region_id),
+cov AS (SELECT region_id, bm25, code, CASE WHEN all_w > 0 THEN covered / all_w ELSE 0 END AS coverage FROM parts, allw),
+scored AS (SELECT region_id, round(bm25, 4) AS bm25, round(coverage, 4) AS coverage, round(bm25 + 7 * coverage + least(24.0, code) + CASE WHEN coverage >= 1 - 1e-12 THEN 2 ELSE 0 END, 4) AS score FROM cov)"""
+
+
+def _path_sql(query: search.Query) -> str:
+    """Path score and prior of ``path``."""
+    base = "lower(parse_filename(path))"
+    terms = " + ".join(f"CASE WHEN contains({base}, '{t}') THEN {2.5 * w} WHEN contains(lower(path), '{t}') THEN {1.25 * w} ELSE 0 END" for t in query.terms if (w := query.weights[t]) == 1 or w >= 1.25)
+    priors = " + ".join(f"CASE WHEN regexp_matches('/' || lower(path), '{p}') THEN {v} ELSE 0 END" for p, v, words in search.PRIORS if "(?!" not in p and not (words and query.supplies(*words.split())))
+    return f"({terms or '0'}) + ({priors})"
+
+
 def oracle_sql() -> dict[str, str]:
     # variants of a search word, for texts of plain words: no lookaround in this dialect, so borders are marked first
     query = search.build_query(QUERY)
@@ -184,7 +219,14 @@ def oracle_sql() -> dict[str, str]:
     )
     test = r"""regexp_matches(file_path, '(?i)(^|/)(test|tests|__tests__|spec|specs|testdata)/') OR regexp_matches(lower(parse_filename(file_path)), '\.(test|spec)\.|_test\.(go|py)$|^test_.*\.py$|_spec\.rb$|^tests?\.rs$')
   OR regexp_matches(regexp_replace(parse_filename(file_path), '\.[^.]*$', ''), '(Test|Tests|TestCase)$')"""
+    whole = "SELECT doc_id AS region_id, path, body FROM docs"
+    lines = """SELECT doc_id || ':' || (k * 60 + 1) AS region_id, array_to_string(a[k * 60 + 1 : k * 60 + 80], chr(10)) AS body
+  FROM (SELECT doc_id, a, unnest(range(0, greatest(0, ceil((len(a) - 80) / 60.0))::BIGINT + 1)) AS k FROM (SELECT doc_id, string_split(body, chr(10)) AS a FROM docs))"""
     return {
+        "bm25_search": f"WITH {_bm25_sql(whole, TERM_TOKENS)} SELECT * FROM scored",
+        "sparse_bm25": f"WITH {_bm25_sql(lines, SPARSE_TOKENS)} SELECT * FROM scored",
+        "bm25_top": f"""WITH {_bm25_sql(whole, TERM_TOKENS)}, placed AS (SELECT region_id, path, round(score + {_path_sql(query)}, 4) AS score FROM scored JOIN regions USING (region_id))
+SELECT region_id, path, score, row_number() OVER (ORDER BY score DESC, path, region_id)::INTEGER AS rank FROM placed QUALIFY rank <= 10""",
         "doc_frequency": f"WITH {_df()} SELECT term, df, n_docs, round(idf, 6) AS idf FROM idf",
         "sparse_chunks": f"""WITH {_FILES}, s AS (SELECT file_id, string_split(content, chr(10)) AS a FROM files),
 k AS (SELECT file_id, a, len(a) AS n, unnest(range(0, greatest(0, ceil((len(a) - 80) / 60.0))::BIGINT + 1)) AS k FROM s)

@@ -8,8 +8,10 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only up to this many rows, counted before the join is planned.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only up to this many rows and bytes, counted before the join is planned.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 * 1024 * 1024
+#: Types whose values have one size, so rows alone tell how large they are.
+FIXED_TYPES = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``limit`` rows, else unchanged.
+    """``df`` marked for broadcast if it has at most ``limit`` rows and BROADCAST_BYTES bytes, else unchanged.
 
     The count stops at ``limit + 1`` rows, so a large side costs little and is
     then joined by shuffle (with AQE's skew handling).
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    first = df.limit(limit + 1)
+    open_ = [name for name, kind in df.dtypes if kind not in FIXED_TYPES]
+    if not open_:
+        return F.broadcast(df) if first.count() <= limit else df
+    size = F.octet_length(F.to_json(F.struct(*open_)))
+    rows, size = first.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= limit and size <= BROADCAST_BYTES else df
 
 
 def shared_dir(spark: SparkSession) -> str:
