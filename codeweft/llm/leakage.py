@@ -124,7 +124,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, run_words: int = RUN_WO
     """Documents whose text holds ``run_words`` consecutive words of an item's passage: doc_id, item_id, run_words.
 
     ``edits`` allows as many words of the run to be changed, added or missing
-    (0: an exact run). Rows with a null id or text, and passages or texts with
+    (0: an exact run); a number at which no gram is sure to be shared is refused. Rows with a null id or text, and passages or texts with
     fewer words than the run, give nothing; repeated rows give one; an empty
     table on either side gives no rows.
 
@@ -146,13 +146,10 @@ def leaked_items(documents: DataFrame, items: DataFrame, run_words: int = RUN_WO
     near = None
     for q in lengths:
         own = asked.where(F.col("q") == q)
-        if q:
-            grams = own.select("item_id", "need", F.posexplode(word_grams(F.col("item_words"), q)).alias("item_at", "gram"))
-            found = _regions(corpus, small(grams.select("item_id", "need", "item_at", F.xxhash64("gram").alias("gram"))), q, band)
-        else:
-            longest = 1 + F.greatest(F.length("doc_words"), F.length("item_words")) / (2 * band)
-            all_bands = F.sequence((-longest).cast("int"), (longest + 1).cast("int"))
-            found = corpus.join(small(own.select("item_id", "item_words"))).select("doc_id", "item_id", all_bands.alias("bands"))
+        if not q:
+            raise ValueError(f"{edits} edits leave no gram that a run of {run_words} words must share; allow fewer")
+        grams = own.select("item_id", "need", F.posexplode(word_grams(F.col("item_words"), q)).alias("item_at", "gram"))
+        found = _regions(corpus, small(grams.select("item_id", "need", "item_at", F.xxhash64("gram").alias("gram"))), q, band)
         near = found if near is None else near.unionByName(found)
     if near is None:
         return documents.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, run_words int")

@@ -114,5 +114,19 @@ ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k+11], ' ') AS g FROM (SELEC
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"""
     return {
         "p5_found": _PATHS + "SELECT repo_key, left_path, right_path FROM counted WHERE c >= 5 AND c * n >= 4 * a * b",
+        "p5_ranked": _PATHS
+        + """, wide AS (SELECT repo_key, left_path, right_path, c AS n_both, a AS n_left, b AS n_right, n AS n_baskets, c::DOUBLE AS c, a::DOUBLE AS a, b::DOUBLE AS b, n::DOUBLE AS n FROM counted),
+g AS (SELECT *, 2 * (c * ln(c / (a * b / n)) + CASE WHEN a > c THEN (a - c) * ln((a - c) / (a * (n - b) / n)) ELSE 0 END
+  + CASE WHEN b > c THEN (b - c) * ln((b - c) / ((n - a) * b / n)) ELSE 0 END + CASE WHEN n - a - b + c > 0 THEN (n - a - b + c) * ln((n - a - b + c) / ((n - a) * (n - b) / n)) ELSE 0 END) AS g2 FROM wide)
+SELECT repo_key, left_path, right_path, n_both, n_left, n_right, n_baskets, round(c * n / (a * b), 4) AS lift,
+  round(CASE WHEN c * n < a * b THEN -1 ELSE 1 END * greatest(g2, 0), 4) + 0.0 AS llr FROM g""",
         "p6_found": leaks,
+        "p6_report": f"""
+WITH d AS (SELECT doc_id, string_split({words.format('text')}, ' ') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT DISTINCT item_id, string_split({words.format('passage')}, ' ') AS w FROM eval_items WHERE passage IS NOT NULL),
+dg AS (SELECT doc_id, k AS dk, array_to_string(w[k:k+11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) >= 12)),
+ig AS (SELECT item_id, k AS ik, array_to_string(w[k:k+11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12)),
+m AS (SELECT doc_id, item_id, dk - ik AS diagonal, dk, dk - row_number() OVER (PARTITION BY doc_id, item_id, dk - ik ORDER BY dk) AS island FROM dg JOIN ig USING (g)),
+runs AS (SELECT doc_id, item_id, count(*) + 11 AS run FROM m GROUP BY doc_id, item_id, diagonal, island)
+SELECT item_id, count(DISTINCT doc_id) AS n_docs, max(run)::INTEGER AS run_words FROM runs GROUP BY item_id""",
     }
