@@ -292,7 +292,7 @@ def diverse(regions: Sequence[Region], top_k: int = 10, per_file: int = 3, ratio
 
 def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep, terms, waived = [], [], []
+        keep, terms, waived, compact = [], [], [], []
         for n, text in enumerate(batch.column("text").to_pylist()):
             try:
                 query = build_query(text)
@@ -300,20 +300,21 @@ def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             keep.append(n)
             terms.append([{"term": t, "weight": float(query.weights[t])} for t in query.terms])
+            compact.append(re.sub(r"[\W_]+", "", query.raw))
             waived.append([i for i, (_, _, words) in enumerate(PRIORS) if words and query.supplies(*words.split())])
         kind = pa.list_(pa.struct([("term", pa.string()), ("weight", pa.float64())]))
         ids = batch.column("query_id").take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(terms, kind), pa.array(waived, pa.list_(pa.int32()))], names=["query_id", "terms", "waived"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(terms, kind), pa.array(waived, pa.list_(pa.int32())), pa.array(compact, pa.string())], names=["query_id", "terms", "waived", "compact"])
 
 
 def build_queries(queries: DataFrame) -> DataFrame:
-    """(query_id, terms, waived) of queries (query_id, text): the weighted terms of each, and the priors of paths that it waives. Texts without a term give no row."""
+    """(query_id, terms, waived, compact) of queries (query_id, text): the weighted terms of each, and the priors of paths that it waives, its letters and digits alone. Texts without a term give no row."""
     kind = dict(queries.dtypes)["query_id"]
-    return queries.where("query_id IS NOT NULL AND text IS NOT NULL").select("query_id", "text").mapInArrow(_built, f"query_id {kind}, terms array<struct<term:string,weight:double>>, waived array<int>")
+    return queries.where("query_id IS NOT NULL AND text IS NOT NULL").select("query_id", "text").mapInArrow(_built, f"query_id {kind}, terms array<struct<term:string,weight:double>>, waived array<int>, compact string")
 
 
-def substring_frequency(documents: DataFrame, terms: DataFrame) -> DataFrame:
-    """``document_frequency`` of any number of distinct ``terms`` (term): term, df, n_docs, idf.
+def substring_hits(documents: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, doc_id) of the documents (doc_id, path, body) that hold each of any number of distinct ``terms`` (term), in body or path, as a substring.
 
     A term holds only characters of search words, so it occurs in a text if
     it does in one of its words. Each place of each distinct word meets the
@@ -325,8 +326,13 @@ def substring_frequency(documents: DataFrame, terms: DataFrame) -> DataFrame:
     pieces = places.select("word", "at", F.substring("word", F.col("at"), F.lit(PIECE)).alias("piece"))
     starts = pieces.select("word", "at", "piece", F.explode(F.array_distinct(F.array(F.substring("piece", 1, 2), F.substring("piece", 1, 3)))).alias("key"))
     met = starts.join(keyed, "key").where(F.col("piece").startswith(F.substring("term", 1, PIECE)) & ((F.length("term") <= PIECE) | (F.substring("word", F.col("at"), F.length("term")) == F.col("term"))))
-    held = met.select("word", "term").distinct().join(words, "word").select("term", "doc_id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    counted = keyed.select("term").join(held, "term", "left").withColumn("df", F.coalesce("df", F.lit(0))).join(F.broadcast(documents.agg(F.count(F.lit(1)).alias("n_docs"))))
+    return met.select("word", "term").distinct().join(words, "word").select("term", "doc_id").distinct()
+
+
+def substring_frequency(documents: DataFrame, terms: DataFrame) -> DataFrame:
+    """``document_frequency`` of any number of distinct ``terms`` (term): term, df, n_docs, idf."""
+    held = substring_hits(documents, terms).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    counted = terms.select("term").distinct().join(held, "term", "left").withColumn("df", F.coalesce("df", F.lit(0))).join(F.broadcast(documents.agg(F.count(F.lit(1)).alias("n_docs"))))
     return counted.withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
@@ -354,20 +360,43 @@ def bm25_batch(regions: DataFrame, documents: DataFrame, terms: DataFrame, spars
     return scored.withColumn("coverage", coverage).select("query_id", "region_id", F.round("bm25", 4).alias("bm25"), F.round("coverage", 4).alias("coverage"), F.round(total, 4).alias("score"))
 
 
-def path_scores(path: Column, terms: Column, waived: Column) -> Column:
-    """``path_score`` and ``path_prior`` of a row's own query, given by its terms and the priors it waives."""
+def path_term_scores(path: Column, terms: Column) -> Column:
+    """``path_score`` of a row's own query, given by its terms."""
     lower, base = F.lower(path), F.lower(basename(path))
 
     def hit(t: Column) -> Column:
         weight = t["weight"]
         return F.when((weight != 1) & (weight < 1.25), 0.0).when(base.contains(t["term"]), 2.5 * weight).when(lower.contains(t["term"]), 1.25 * weight).otherwise(0.0)
 
-    score = F.aggregate(terms, F.lit(0.0), lambda total, t: total + hit(t))
+    return F.aggregate(terms, F.lit(0.0), lambda total, t: total + hit(t))
+
+
+def path_priors(path: Column, waived: Column) -> Column:
+    """``path_prior`` of a row's own query, given by the priors it waives."""
+    lower, score = F.concat(F.lit("/"), F.lower(path)), F.lit(0.0)
     for i, (pattern, value, _) in enumerate(PRIORS):
-        score = score + F.when(F.concat(F.lit("/"), lower).rlike(pattern) & ~F.array_contains(waived, i), value).otherwise(0.0)
+        score = score + F.when(lower.rlike(pattern) & ~F.array_contains(waived, i), value).otherwise(0.0)
     return score
 
 
+def path_scores(path: Column, terms: Column, waived: Column) -> Column:
+    """``path_score`` and ``path_prior`` of a row's own query, given by its terms and the priors it waives."""
+    return path_term_scores(path, terms) + path_priors(path, waived)
+
+
+def symbol_scores(name: Column, qualified: Column, signature: Column, kind: Column, terms: Column, compact: Column) -> Column:
+    """``symbol_score`` of a row's own query, given by its terms and its letters and digits alone."""
+    lower, full, sign = F.lower(name), F.coalesce(F.lower(qualified), F.lit("")), F.coalesce(F.lower(signature), F.lit(""))
+    prior = F.when(kind.isin("function", "method"), 2.0).when(kind.isin(*TYPE_KINDS), 0.75).when(kind.isin("block", "workflow", "document"), -1.5).when(kind == "section", -0.5).otherwise(0.0)
+    exact = F.when((compact != "") & (F.regexp_replace(lower, r"[^\p{L}\p{Nd}]+", "") == compact), 14.0).otherwise(0.0)
+
+    def hit(t: Column) -> Column:
+        weight = t["weight"]
+        return F.when(lower == t["term"], 6 * weight).when(lower.contains(t["term"]) | full.contains(t["term"]), 3 * weight).when(sign.contains(t["term"]), 1.5 * weight).otherwise(0.0)
+
+    return F.coalesce(prior + exact + F.aggregate(terms, F.lit(0.0), lambda total, t: total + hit(t)), F.lit(0.0))
+
+
 def ranked_batch(scores: DataFrame, ties: Sequence[str], limit: int) -> DataFrame:
     """The first ``limit`` rows of each query_id by score and then ``ties``, with their rank; ranked in parts first."""
     order = [F.col("score").desc(), *ties]
