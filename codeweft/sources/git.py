@@ -125,3 +125,27 @@ def worktree(spark: SparkSession, folder: str) -> DataFrame:
     path = F.regexp_replace(F.url_decode(F.regexp_replace("path", "\\+", "%2B")), "^file:/+", "/")
     text = F.when(F.instr(F.col("content"), F.lit("\0")) == 0, F.decode("content", "UTF-8"))
     return files.select(F.substring(path, len(root) + 1, 100000).alias("file_path"), text.alias("content"), F.col("length").alias("n_bytes"))
+
+
+def tracked(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The tracked files of a folder, or None if it is no repository."""
+    try:
+        return list_index(spark, folder)
+    except (subprocess.CalledProcessError, FileNotFoundError):
+        return None
+
+
+def source_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """(file_path, content) of the source files of a folder: no binary, ignored or vendored ones, and nothing of the tools' own."""
+    from pyspark.sql import functions as F
+
+    from codeweft.sources.ignore import is_ignored, without_vendored
+
+    rules: list[str] = []
+    if os.path.exists(os.path.join(folder, ".gitignore")):
+        with open(os.path.join(folder, ".gitignore"), encoding="utf-8", errors="replace") as f:
+            rules = f.read().split("\n")
+    files = worktree(spark, folder).where("content IS NOT NULL").where(~F.col("file_path").rlike(r"(^|/)\.(git|codeweft)/"))
+    if rules:
+        files = files.where(~is_ignored(F.col("file_path"), rules))
+    return without_vendored(files, tracked(spark, folder)).select("file_path", "content")

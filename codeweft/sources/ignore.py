@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -78,3 +78,22 @@ VENDORED = r"(^|/)(node_modules|vendor|third_party|thirdparty)/|[^/]+/(libc|libc
 def is_vendored(path: Column) -> Column:
     """Folders that hold other projects, at any depth; some only below the top."""
     return F.coalesce(path.rlike(VENDORED), F.lit(False))
+
+
+#: Folders that hold what a build makes or what others wrote, unless the repository tracks them (fixed values).
+AMBIGUOUS = ("build", "dist", "deps", "external")
+
+
+def without_vendored(files: DataFrame, tracked: DataFrame | None = None) -> DataFrame:
+    """Files (file_path, ...) outside of vendored folders; those in folders of an ambiguous name stay if one of ``tracked`` (file_path) lies in the folder.
+
+    Without ``tracked`` every file counts as tracked.
+    """
+    own = files.where(~is_vendored(F.col("file_path")))
+    if tracked is None:
+        return own
+    folder = F.regexp_extract("file_path", rf"^((?:.*?/)?(?:{'|'.join(AMBIGUOUS)}))/", 1)
+    held = tracked.select(folder.alias("_folder")).where("_folder <> ''").distinct()
+    marked = own.withColumn("_folder", folder)
+    kept = marked.where("_folder <> ''").join(held, "_folder", "left_semi")
+    return marked.where("_folder = ''").unionByName(kept.select(*marked.columns)).drop("_folder")
