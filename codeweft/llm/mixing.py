@@ -25,7 +25,7 @@ def clean_targets(targets: DataFrame) -> DataFrame:
     )
 
 
-def balance(histogram: DataFrame, targets: list, total: float | None, rounds: int = 60, tolerance: float = 1e-9) -> tuple[dict[str, float], float]:
+def balance(histogram: DataFrame, targets: list, total: float | None, rounds: int = 200, tolerance: float = 1e-9) -> tuple[dict[str, float], float]:
     """The dual of entropy balancing: a multiplier for each source, and the size of the mix.
 
     Rates w minimise sum w (ln w - 1) subject to sum over a source of w t =
@@ -76,6 +76,8 @@ def balance(histogram: DataFrame, targets: list, total: float | None, rounds: in
                 high[s] = lam[s]
             step = lam[s] + gap / r["slope"] if r["slope"] > 0 else None
             lam[s] = step if step is not None and low[s] < step < high[s] else (low[s] + high[s]) / 2 if low[s] > -700 and high[s] < 700 else lam[s] + (1.0 if gap > 0 else -1.0)
+    if open_:
+        raise ArithmeticError(f"the rates of {sorted(open_)} don't settle in {rounds} rounds")
     return lam, total
 
 
