@@ -1,3 +1,4 @@
+import json
 import subprocess
 
 from codeweft.operators import relations
@@ -33,7 +34,10 @@ def test_symbols_and_relations(spark):
     assert {r.relation for r in relations.code_graph(facts, "syntax-only").select("relation").distinct().collect()} == {"DEFINES", "CONTAINS"}
     assert {(r.file_path, r.kind) for r in facts.where("fact = 'failure'").collect()} == {("bad.py", "E_PARSE_ERROR"), ("x.xyz", "E_UNSUPPORTED_LANGUAGE")}
     lines = [r.value for r in records.record_lines(facts, found, relations.code_graph(facts, "syntax-only")).orderBy("section", "key").collect()]
-    assert '"schema_version"' in lines[0] and '"summary"' in lines[-1] and sum('"record_type":"symbol"' in x for x in lines) == len(ids)
+    head = json.loads(lines[0])
+    assert head["stats"] == {"files": 7, "parsed_files": 5, "symbols": len(ids), "relations": sum(head["completeness"]["relations"].values()), "partial_failures": 1, "completeness_level": "degraded"}
+    assert head["completeness"]["languages"]["Go"] == {"files": 1, "symbols": 3} and {w["code"] for w in head["warnings"]} == {"E_PARSE_ERROR", "E_UNSUPPORTED_LANGUAGE"} and head["languages"] == ["Go", "Python", "TypeScript"]
+    assert "schema_version" in head and '"summary"' in lines[-1] and sum('"record_type":"symbol"' in x for x in lines) == len(ids)
 
 
 def test_equal_ids_get_signatures(spark):
