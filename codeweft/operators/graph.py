@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions.text import CALL_RELATIONS, CENTRAL_RELATIONS, confidence_band, endpoint_tier, is_test_path, resolution_tier
-from codeweft.tables import small
+from codeweft.tables import cut, small
 
 ENDPOINT = ["endpoint_id", "endpoint_name", "qualified_name", "endpoint_kind", "file_path", "start_line", "is_external"]
 EDGE = ["from_id", "to_id", "relation"]
@@ -132,7 +132,7 @@ def impact(relations: DataFrame, focuses: DataFrame, depth: int = 2, types: Sequ
             .agg(F.min("to_id").alias("via"))
             .join(seen.select("focus_id", "caller_id"), ["focus_id", "caller_id"], "left_anti")
         )
-        frontier = reached.select("focus_id", "caller_id", F.lit(step).alias("depth"), "via")
+        frontier = cut(reached.select("focus_id", "caller_id", F.lit(step).alias("depth"), "via"))
         seen = seen.unionByName(frontier)
     return seen.where("depth > 0")
 
@@ -159,10 +159,10 @@ def language_rollup(endpoints: DataFrame) -> DataFrame:
     return own.rollup("endpoint_kind").agg(F.count(F.lit(1)).alias("n_endpoints"), F.count_distinct("file_path").alias("n_files")).where("endpoint_kind IS NOT NULL OR n_endpoints > 0")
 
 
-def members(endpoints: DataFrame, focuses: DataFrame) -> DataFrame:
-    """Endpoints of the same file as each focus: focus_id, member_id."""
-    keys = small(focuses.select(F.col("endpoint_id").alias("focus_id"), F.col("file_path")).distinct())
-    return endpoints.join(keys, "file_path").where(F.col("endpoint_id") != F.col("focus_id")).select("focus_id", F.col("endpoint_id").alias("member_id"))
+def members(endpoints: DataFrame, focuses: DataFrame, container: str = "file_path") -> DataFrame:
+    """Endpoints of the same ``container`` as each focus, by default the file: focus_id, member_id. A null container holds nothing."""
+    keys = small(focuses.where(F.col(container).isNotNull()).select(F.col("endpoint_id").alias("focus_id"), container).distinct())
+    return endpoints.join(keys, container).where(F.col("endpoint_id") != F.col("focus_id")).select("focus_id", F.col("endpoint_id").alias("member_id"))
 
 
 def enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:
@@ -174,10 +174,9 @@ def enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:
     sized = spans.where("low <= high").withColumn("level", F.ceil(F.log2(F.col("high") - F.col("low") + 1)).cast("int"))
     step = F.pow(F.lit(2.0), F.col("level"))
     laid = sized.withColumn("block", F.explode(F.sequence(F.floor(F.col("low") / step), F.floor(F.col("high") / step))))
-    levels = F.sequence(F.lit(0), F.lit(31))
-    asked = points.withColumn("level", F.explode(levels)).withColumn("block", F.floor(F.col("at") / F.pow(F.lit(2.0), F.col("level"))))
-    levels_used = small(sized.select("level").distinct())
-    hit = asked.join(levels_used, "level", "left_semi").join(laid, ["space", "level", "block"]).where(F.col("at").between(F.col("low"), F.col("high")))
+    levels = [r["level"] for r in sized.select("level").distinct().collect()]  # powers of two that occur: some dozens at most
+    asked = points.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("block", F.floor(F.col("at") / F.pow(F.lit(2.0), F.col("level"))))
+    hit = asked.join(laid, ["space", "level", "block"]).where(F.col("at").between(F.col("low"), F.col("high")))
     best = F.min_by("span_id", F.struct(F.col("high") - F.col("low"), -F.col("low"), "span_id"))
     return hit.groupBy("point_id").agg(best.alias("span_id"))
 

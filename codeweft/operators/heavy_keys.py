@@ -8,14 +8,13 @@ states are joined, and counts are multiplied instead of rows being repeated.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 32
-
-
-def edge_sides(relations: DataFrame) -> DataFrame:
-    """Each relation once from either end: endpoint_side, endpoint_id, relation, neighbor_id, confidence.
+def edge_sides(relations: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """Each relation once from either end: endpoint_side, endpoint_id, relation, neighbor_id, confidence, and the columns ``more``.
 
     A null id or relation is no key and gives no row.
     """
@@ -25,7 +24,7 @@ def edge_sides(relations: DataFrame) -> DataFrame:
             F.struct(F.lit("to").alias("endpoint_side"), F.col("to_id").alias("endpoint_id"), F.col("from_id").alias("neighbor_id")),
         )
     )
-    return relations.select("relation", "confidence", ends).where("endpoint_id IS NOT NULL AND relation IS NOT NULL")
+    return relations.select("relation", "confidence", *more, ends).where("endpoint_id IS NOT NULL AND relation IS NOT NULL")
 
 
 def edge_states(relations: DataFrame) -> DataFrame:
@@ -92,27 +91,18 @@ def join_rollup(relations: DataFrame, endpoints: DataFrame, shared: DataFrame) -
     )
 
 
-def best_neighbors(relations: DataFrame, k: int = 3, salts: int = SALTS) -> DataFrame:
+def best_neighbors(relations: DataFrame, k: int = 3) -> DataFrame:
     """The ``k`` best distinct neighbours of every key, with the key's number of edges.
 
     Best: greatest confidence (null last), then most edges, then id. Equal
-    neighbours are first merged by partial aggregation; then each key's
-    neighbours are ranked in ``salts`` independent parts and only the parts'
-    winners meet, so no task sees all neighbours of a heavy key.
+    edges are merged once for both ends, by partial aggregation. Of a key each
+    task passes on its own ``k`` best (a group limit before the shuffle), so
+    no task sees all neighbours of a heavy key.
     """
     key = ["endpoint_side", "endpoint_id", "relation"]
-    merged = edge_sides(relations).groupBy(*key, "neighbor_id").agg(F.count(F.lit(1)).alias("n"), F.max("confidence").alias("confidence"))
+    edges = relations.where("relation IS NOT NULL").groupBy("from_id", "to_id", "relation").agg(F.count(F.lit(1)).alias("n"), F.max("confidence").alias("confidence"))
+    merged = edge_sides(edges, ["n"])
     counts = merged.groupBy(*key).agg(F.sum("n").alias("n_edges"))
     order = [F.col("confidence").desc_nulls_last(), F.col("n").desc(), F.col("neighbor_id").asc_nulls_last()]
-    part = Window.partitionBy(*key, "salt").orderBy(*order)
-    whole = Window.partitionBy(*key).orderBy(*order)
-    top = (
-        merged.where("neighbor_id IS NOT NULL")
-        .withColumn("salt", F.pmod(F.xxhash64("neighbor_id"), F.lit(salts)))
-        .withColumn("rank", F.row_number().over(part))
-        .where(F.col("rank") <= k)
-        .withColumn("rank", F.row_number().over(whole))
-        .where(F.col("rank") <= k)
-        .select(*key, "neighbor_id", "n", "confidence", "rank")
-    )
+    top = merged.where("neighbor_id IS NOT NULL").withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("rank") <= k)
     return top.join(counts, key).select(*key, "n_edges", "rank", "neighbor_id", F.col("n").alias("neighbor_edges"), "confidence")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.operators import cochange, graph
+from codeweft.operators import cochange, graph, relations
 from codeweft.tables import table
 
 
@@ -80,6 +80,13 @@ def siblings_members(spark: SparkSession, d: str) -> DataFrame:
     return graph.members(ends, ends.where("endpoint_kind = 'type'"))
 
 
+def container_members(spark: SparkSession, d: str) -> DataFrame:
+    """What types of the same name hold, for each method; a type may be spread over files."""
+    inside = F.regexp_extract("qualified_name", r"^(.+)\.[^.]+$", 1)
+    ends = _endpoints(spark, d).withColumn("container", F.when(inside != "", inside))
+    return graph.members(ends, ends.where("endpoint_kind = 'method'"), "container")
+
+
 def inbound_degree(spark: SparkSession, d: str) -> DataFrame:
     return graph.inbound_degree(_edges(spark, d))
 
@@ -127,8 +134,13 @@ def cochange_partners(spark: SparkSession, d: str) -> DataFrame:
     return cochange.partners(pairs, _changes(spark, d).where("space IS NOT NULL AND path IS NOT NULL").select("space", "path").distinct())
 
 
+def file_changes_with(spark: SparkSession, d: str) -> DataFrame:
+    """Files that changed together, as edges of the graph."""
+    return relations.co_changes(cochange.cochange_pairs(_changes(spark, d))).select("repo_key", "from_id", "to_id", "relation", "confidence", "reason")
+
+
 QUERIES = (
-    endpoint_union, relation_dedup, edge_filter, resolved_edges, neighbors_topk, neighbors_production, focus_lookup, two_hop_paths, impact_callers, impact_totals, impact_asked, impact_asked_totals, siblings_members,
+    endpoint_union, relation_dedup, edge_filter, resolved_edges, neighbors_topk, neighbors_production, focus_lookup, two_hop_paths, impact_callers, impact_totals, impact_asked, impact_asked_totals, siblings_members, container_members, file_changes_with,
     inbound_degree, confidence_bands, completeness_rollup, enclosing_symbol, adjacent_siblings, gap_islands, cochange_pairs, cochange_top, cochange_partners,
 )
 
@@ -140,6 +152,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _ENDS = """ends AS (SELECT endpoint_id, min(endpoint_name) AS endpoint_name, min(qualified_name) AS qualified_name, min(endpoint_kind) AS endpoint_kind, min(file_path) AS file_path,
   min(start_line) AS start_line, min(is_external) AS is_external
   FROM (SELECT * FROM endpoints UNION ALL BY NAME SELECT * FROM shared_endpoints) WHERE endpoint_id IS NOT NULL GROUP BY endpoint_id)"""
+_ENDS_ALL = """ends AS (SELECT endpoint_id, min(qualified_name) AS qualified_name, min(endpoint_kind) AS endpoint_kind, min(file_path) AS file_path
+  FROM (SELECT * FROM endpoints UNION ALL SELECT * FROM shared_endpoints) WHERE endpoint_id IS NOT NULL GROUP BY endpoint_id)"""
 _TIER = "CASE WHEN resolution = 'exact' THEN 0 WHEN resolution = 'import_resolved' THEN 1 ELSE 2 END"
 _EDGES = f"""edges AS (SELECT from_id, to_id, relation, confidence, resolution, reason FROM relations WHERE from_id IS NOT NULL AND to_id IS NOT NULL AND relation IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY from_id, to_id, relation ORDER BY confidence DESC NULLS LAST, {_TIER}, resolution NULLS FIRST, reason NULLS FIRST) = 1)"""
@@ -205,6 +219,10 @@ WINDOW w AS (PARTITION BY file_path ORDER BY start_line NULLS FIRST, endpoint_id
 f AS (SELECT *, CASE WHEN commit_seq - lag(commit_seq) OVER w <= 17 THEN 0 ELSE 1 END AS fresh FROM r WINDOW w AS (PARTITION BY repo_key, file_path ORDER BY commit_seq)),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY repo_key, file_path ORDER BY commit_seq) AS island FROM f)
 SELECT repo_key, file_path, min(commit_seq) AS low, max(commit_seq) AS high, count(*) AS n_rows FROM g GROUP BY repo_key, file_path, island""",
+        "container_members": f"""WITH {_ENDS_ALL}, c AS (SELECT endpoint_id, endpoint_kind, nullif(regexp_extract(qualified_name, '^(.+)\\.[^.]+$', 1), '') AS container FROM ends)
+SELECT f.endpoint_id AS focus_id, m.endpoint_id AS member_id FROM c f JOIN c m ON f.container = m.container AND f.endpoint_id <> m.endpoint_id WHERE f.endpoint_kind = 'method'""",
+        "file_changes_with": f"""WITH {_PAIRS.format(least=2)} SELECT space AS repo_key, space || ':file:' || "left" AS from_id, space || ':file:' || "right" AS to_id, 'FILE_CHANGES_WITH' AS relation,
+least(0.95, 0.5 + 0.05 * count)::DOUBLE AS confidence, 'files changed together in ' || count || ' recent commits' AS reason FROM pairs""",
         "cochange_pairs": f"WITH {_PAIRS.format(least=2)} SELECT * FROM pairs",
         "cochange_top": f"""WITH {_PAIRS.format(least=2)} SELECT *, (row_number() OVER (PARTITION BY space ORDER BY count DESC, "left", "right"))::INTEGER AS rank FROM pairs QUALIFY rank <= 100""",
         "cochange_partners": f"""WITH {_PAIRS.format(least=3)} SELECT space, "left" AS path, "right" AS partner, count FROM pairs UNION ALL SELECT space, "right", "left", count FROM pairs""",

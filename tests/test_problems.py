@@ -74,7 +74,7 @@ def test_heavy_keys_and_rollup(spark):
 
 def test_best_neighbors_against_brute_force(spark):
     rows = [("hub", f"t{i % 50:02}", "CALLS", None if i % 11 == 0 else (i * 37 % 50) / 50, 1) for i in range(400)]
-    got = heavy_keys.best_neighbors(spark.createDataFrame(rows, RELATION), k=5, salts=4).where("endpoint_side = 'from'").orderBy("rank").collect()
+    got = heavy_keys.best_neighbors(spark.createDataFrame(rows, RELATION), k=5).where("endpoint_side = 'from'").orderBy("rank").collect()
     best = {}
     for _, t, _, c, _ in rows:
         n, m = best.get(t, (0, None))
