@@ -160,8 +160,10 @@ class NearTexts:
         rep = F.coalesce("rep", "node")
         asked = None
         if nodes is not None:
-            asked = cut(nodes.join(self.members, "node", "left").select("node", rep.alias("rep")))
-            ids = cut(self.sets.join(small(asked.select(F.col("rep").alias("node")).distinct()), "node", "left_semi").select("id"))
+            asked = cut(small(nodes).join(self.members, "node", "left").select("node", rep.alias("rep")))
+            ids = cut(self.sets.join(small(asked.select(F.col("rep").alias("node"))), "node", "left_semi").select("id"))
+            if ids.isEmpty():
+                return self._to_members(asked, asked.select("rep", F.col("rep").alias("other")).distinct())
         else:
             ids = None
         near = self._met(self.tables, ["no", "bits"], ["simhash"], ids).where(F.bit_count(F.col("a_simhash").bitwiseXOR(F.col("b_simhash"))) <= self.hamming).select("a_id", "b_id")
@@ -177,8 +179,11 @@ class NearTexts:
         if asked is None:
             links = pairs.select("a", "b").unionByName(self.members.toDF("a", "b"))
             return links.select(F.least("a", "b").alias("node"), F.greatest("a", "b").alias("other"))
-        # to each near class and to the own one, and from classes to their members
-        classes = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(asked.select("rep", F.col("rep").alias("other"))).distinct()
+        # to each near class and to the own one
+        return self._to_members(asked, pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(asked.select("rep", F.col("rep").alias("other"))).distinct())
+
+    def _to_members(self, asked: DataFrame, classes: DataFrame) -> DataFrame:
+        """Links of asked nodes (node, rep) to the near classes (rep, other) and to their members."""
         whole = classes.unionByName(classes.join(self.members.select(F.col("rep").alias("other"), F.col("node").alias("member")), "other").select("rep", F.col("member").alias("other")))
         return asked.join(whole, "rep").where("node <> other").select("node", "other")
 

@@ -202,7 +202,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     known, seen = _Passages(), set()
     for batch in batches:
-        places, labels, counts, flat, fresh, told = [], [], [], [], [], []
+        places, labels, counts, flat, fresh, told, features = [], [], [], [], [], [], []
         for text in batch.column("text").to_pylist():
             place = open_place(text)
             kind, held = (-1, {}) if place else trusted(text, known)
@@ -210,6 +210,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             labels.append(kind)
             counts.append(len(held))
             flat += [(*p[:4], k) for p, k in held.values()]
+            features.append(list({f for p, _ in held.values() for f in p[1:4]}))
             if len(seen) > REMEMBERED:
                 seen.clear()
             new = [p for p, _ in held.values() if p[2] != p[1] and p[1] not in seen]
@@ -220,12 +221,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = np.array(flat, dtype=np.int64).reshape(-1, 5).T
         lists = [pa.ListArray.from_arrays(at, pa.array(c.copy())) for c in columns]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("node"), pa.array(places), pa.array(labels, pa.int32()), *lists, pa.array(fresh, pa.list_(pa.string())), pa.array(told, pa.list_(pa.int64()))],
-            names=["node", "place", "label", "words", "h", "opening", "closing", "kinds", "fresh", "told"],
+            [batch.column("node"), pa.array(places), pa.array(labels, pa.int32()), *lists, pa.array(fresh, pa.list_(pa.string())), pa.array(told, pa.list_(pa.int64())), pa.array(features, pa.list_(pa.int64()))],
+            names=["node", "place", "label", "words", "h", "opening", "closing", "kinds", "fresh", "told", "features"],
         )
 
 
-READ = "node binary, place boolean, label int, words array<bigint>, h array<bigint>, opening array<bigint>, closing array<bigint>, kinds array<bigint>, fresh array<string>, told array<bigint>"
+READ = "node binary, place boolean, label int, words array<bigint>, h array<bigint>, opening array<bigint>, closing array<bigint>, kinds array<bigint>, fresh array<string>, told array<bigint>, features array<bigint>"
 
 
 def _most(names: list[str]) -> Column:
@@ -238,7 +239,7 @@ def spread_labels(texts: DataFrame, near: NearTexts | None = None) -> DataFrame:
     """(node, label) of the texts that trusted labels reach through connected components of texts and passages.
 
     ``texts``: node, label (-1 for none), words, h, opening, closing, kinds (a
-    passage in each place of the arrays). A text is linked with its passages
+    passage in each place of the arrays), features (the distinct hashes of all three). A text is linked with its passages
     and with their openings and closings; passages are linked with their
     near-duplicates (``near``, whose nodes are the passages' hashes). A passage
     conducts if enough of its texts are
@@ -251,7 +252,7 @@ def spread_labels(texts: DataFrame, near: NearTexts | None = None) -> DataFrame:
     counted = [f"c{k}" for k in range(len(KINDS))]
     total = reduce(add, map(F.col, counted))
     per_kind = lambda amount: [F.sum(F.when(F.col("label") == k, amount).otherwise(0)).alias(c) for k, c in enumerate(counted)]
-    places = texts.select("node", F.explode(F.array_distinct(F.concat("h", "opening", "closing"))).alias("f"))
+    places = texts.select("node", F.explode("features").alias("f"))
     common = cut(places.groupBy("f").agg(F.count(F.lit(1)).alias("n_texts")).where("n_texts > 1"))
     held = cut(texts.where("label >= 0").select("node", "label", "kinds", "h"))
     labelled = frontier = held.select("node", "label")
@@ -259,7 +260,7 @@ def spread_labels(texts: DataFrame, near: NearTexts | None = None) -> DataFrame:
     known = cut(seeds.groupBy("f").agg(F.min("label").alias("label")))
     tally, begun = None, False
     while not frontier.isEmpty():
-        told = places.join(small(frontier), "node").groupBy("f").agg(*per_kind(1))
+        told = texts.select("node", "features").join(small(frontier), "node").select("label", F.explode("features").alias("f")).groupBy("f").agg(*per_kind(1))
         tally = cut(told if tally is None else tally.unionByName(told).groupBy("f").agg(*[F.sum(c).alias(c) for c in counted]))
         enough = tally.join(common, "f", "left").where(total >= CONDUCTING_SHARE * F.coalesce("n_texts", F.lit(1))).select("f", _most(counted).alias("label")).join(known.select("f"), "f", "left_anti")
         fresh = cut(enough if begun else known.unionByName(enough))
@@ -298,7 +299,7 @@ def residue_documents(documents: DataFrame) -> DataFrame:
     rows = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.unhex(F.md5("text")).alias("node"))
     read = rows.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(_read, READ).persist()
     passages = read.select(F.explode(F.arrays_zip("told", "fresh")).alias("p")).groupBy(F.col("p.told").alias("node")).agg(F.first("p.fresh").alias("text"))
-    spread = spread_labels(read.where("NOT place").select("node", "label", "words", "h", "opening", "closing", "kinds"), NearTexts(passages))
+    spread = spread_labels(read.where("NOT place").select("node", "label", "words", "h", "opening", "closing", "kinds", "features"), NearTexts(passages))
     own = read.where("place OR label >= 0").select("node", F.lit(True).alias("seeded"))
     names = F.element_at(F.array(*map(F.lit, KINDS)), F.col("label") + 1)
     held = read.where("place").select("node", F.lit("placeholder").alias("label")).unionByName(spread.select("node", names.alias("label"))).join(own, "node", "left")
