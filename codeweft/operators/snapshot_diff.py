@@ -76,7 +76,7 @@ def snapshot_changes(rows: DataFrame, index: DataFrame, signature: Column | None
     """
     signature = collapse_blanks(F.col("signature")) if signature is None else signature
     body = F.lower(F.col("body_hash")) if body is None else body
-    known = rows.where("repo_key IS NOT NULL AND commit_id IS NOT NULL AND entity_id IS NOT NULL")
+    known = rows.where("repo_key IS NOT NULL AND commit_id IS NOT NULL AND entity_id IS NOT NULL").select("repo_key", "commit_id", "entity_id", "delivered_at", signature.alias("sig"), body.alias("body"))
     pairs = cut(consecutive_snapshots(index, known.select("repo_key", "commit_id").distinct()).withColumn("pair", F.monotonically_increasing_id()))
     # each snapshot is head of one pair and base of the next
     none = F.lit(None).cast("bigint")
@@ -85,7 +85,7 @@ def snapshot_changes(rows: DataFrame, index: DataFrame, signature: Column | None
     )
     roles = roles.groupBy("repo_key", "commit_id").agg(F.max("as_base").alias("as_base"), F.max("as_head").alias("as_head"))
     roles = cut(roles.withColumn("snapshot", F.coalesce(F.col("as_base") * 2, F.col("as_head") * 2 + 1)))
-    placed = known.join(small(roles), ["repo_key", "commit_id"]).select("snapshot", *_id_hashes("entity_id"), "delivered_at", signature.alias("sig"), body.alias("body"))
+    placed = known.join(small(roles), ["repo_key", "commit_id"]).select("snapshot", *_id_hashes("entity_id"), "delivered_at", "sig", "body")
     current = latest_rows(placed, ["snapshot", "e1", "e2"], "delivered_at", ["sig", "body"]).join(small(roles.select("snapshot", "as_base", "as_head")), "snapshot")
     both = F.explode(F.array(F.struct(F.col("as_base").alias("pair"), F.lit(-1).alias("side")), F.struct(F.col("as_head").alias("pair"), F.lit(1).alias("side"))))
     sides = current.select(both.alias("r"), "e1", "e2", F.xxhash64("sig").alias("s"), F.xxhash64("body").alias("b")).select("r.*", "e1", "e2", "s", "b").where("pair IS NOT NULL")

@@ -1,6 +1,7 @@
 from datetime import datetime, timedelta
 
 from codeweft.operators import heavy_keys, snapshot_diff
+from pyspark.sql import functions as F
 
 T0 = datetime(2024, 1, 1)
 ENTITY = "repo_key string, commit_id string, entity_id string, signature string, body_hash string, delivered_at timestamp, surplus int"
@@ -31,7 +32,8 @@ def test_changes_between_snapshots(spark):
         ("r", "c1", None, "f", "x", at(0), 1),
     ]
     index = [("r", "c4", at(9), None), ("r", "c1", at(0), at(0)), ("r", "c2", at(1), at(5)), ("r", "c2", at(1), at(5)), ("r", "c3", at(3), at(3)), ("r", "c5", None, at(3)), (None, "c1", at(0), None)]
-    got = snapshot_diff.snapshot_changes(spark.createDataFrame(rows, ENTITY), spark.createDataFrame(index, INDEX))
+    clashing = {c: F.lit("x") for c in ("snapshot", "pair", "side", "e1", "sig", "body", "base_commit", "taken_at")}
+    got = snapshot_diff.snapshot_changes(spark.createDataFrame(rows, ENTITY).withColumns(clashing), spark.createDataFrame(index, INDEX).withColumn("head_commit", F.lit("x")))
     found = {(r.base_commit, r.head_commit, r.entity_id, r.change_kind) for r in got.collect()}
     # c3 never arrived, so c2 and c4 are neighbours
     assert found == {
