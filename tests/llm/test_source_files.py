@@ -51,6 +51,13 @@ def test_grammars_refuse_damage(language):
     assert not judge(language, "<!doctype html>\n<html><body><p>not found here.</p></body></html>\n")
 
 
+@pytest.mark.parametrize("language", ["JavaScript", "TypeScript"])
+def test_a_script_statement_is_no_object(language):
+    assert not judge(language, '{\n  "a": 1,\n  "b": [true]\n}\n') and not judge(language, '{ "a": 1 }')
+    for text in ("[1, 2]\n", "{ a: 1 }\n", "{}\n", "({ \"a\": 1 })\n", "x = { \"a\": 1 }\n", "export default { \"a\": 1 }\n", "f(() => ({ a }))\n", "{ f(); }\n[1].map(g)\n"):
+        assert judge(language, text), text
+
+
 FILE = "file_id long, repo_key string, file_path string, content string, ingested_at int, language string, code string"
 
 
