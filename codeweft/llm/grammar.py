@@ -21,6 +21,8 @@ UNKNOWN = "\u0001"
 NEWLINE = "\n"
 #: Where line breaks matter inside statements, a token after one has this added to its character.
 AFTER_BREAK = 0x1000
+#: Parts read within a rule beyond which its end is kept, where rules don't call each other.
+KEPT = 64
 PART = re.compile(r"\s*(?:'([^']+)'|([A-Za-z_]\w*)|([()|?*+&!]))")
 
 
@@ -140,34 +142,40 @@ class Grammar:
     def recogniser(self) -> Callable[[str], bool]:
         """A function that tells whether a text of token characters is a run of ``unit``s.
 
-        Linear but for what a choice reads again; a text nested deeper than
-        Python's stack allows is taken for valid.
+        Linear but for what a choice reads again; a unit nested deeper than
+        Python's stack allows is read by the same rules without it (``_end``).
         """
-        self._made = 0
-        self._sets: dict[str, frozenset] = {}
-        lines = []
-        for name, node in self.rules.items():
-            lines.append(f"def r_{name}(s, p):")
-            out = self._emit(node, "p", 1, lines)
-            lines.append(f"    return {out}")
-        space: dict = dict(self._sets)
-        exec("\n".join(lines), space)  # noqa: S102: the text is made from the grammar alone
-        unit = space["r_unit"]
+        unit, deep = self._compiled("r_{}(s, {})", "return"), None
 
         def accepts(text: str) -> bool:
+            nonlocal deep
             p, ended = 0, text + "\0"
-            try:
-                while p < len(text):
+            while p < len(text):
+                try:
                     q = unit(ended, p)
-                    if q <= p:
-                        return False
-                    p = q
-            except RecursionError:
-                return True
+                except RecursionError:
+                    deep = deep or self._compiled("(yield r_{}, {})", "yield")
+                    q = _end(deep, ended, p)
+                if q <= p:
+                    return False
+                p = q
             return True
 
         return accepts
 
+    def _compiled(self, call: str, give: str) -> Callable:
+        """The rule ``unit`` as a Python function; ``call`` reads another rule, ``give`` hands over the end."""
+        self._made, self._call = 0, call
+        self._sets: dict[str, frozenset] = {}
+        lines = []
+        for name, node in self.rules.items():
+            lines.append(f"def r_{name}(s, p):")
+            out = self._emit(node, "p", 1, lines)
+            lines.append(f"    {give} {out}")
+        space: dict = dict(self._sets)
+        exec("\n".join(lines), space)  # noqa: S102: the text is made from the grammar alone
+        return space["r_unit"]
+
     def _after(self, chars: frozenset) -> frozenset:
         return chars | {chr(ord(c) + AFTER_BREAK) for c in chars} if self.breaks else chars
 
@@ -192,7 +200,8 @@ class Grammar:
             close, end = self._set(frozenset([self.char("}")])), self._set(frozenset([self.char(";")]))
             lines.append(f"{pad}{r} = {p} + 1 if s[{p}] in {end} else {p} if s[{p}] in {close} or s[{p}] == '\\0' or s[{p}] >= {chr(ord(ALPHABET[0]) + AFTER_BREAK)!r} else -1")
         elif kind == "ref":
-            lines.append(f"{pad}{r} = r_{body}(s, {p})" if null else f"{pad}{r} = r_{body}(s, {p}) if s[{p}] in {self._set(first)} else -1")
+            got = self._call.format(body, p)
+            lines.append(f"{pad}{r} = {got}" if null else f"{pad}{r} = {got} if s[{p}] in {self._set(first)} else -1")
         elif kind == "any":
             lines += [f"{pad}{r} = -1", f"{pad}while 1:"]
             for option in body:
@@ -231,3 +240,29 @@ class Grammar:
             got = self._emit(body, r, depth + 1, lines)
             lines += [f"{pad}    if {got} <= {r}:", f"{pad}        break", f"{pad}    {r} = {got}"]
         return r
+
+
+def _end(rule: Callable, s: str, p: int) -> int:
+    """Where ``rule``, a generator that yields the rules it calls and then its end, ends at position ``p``, or -1.
+
+    Open calls wait in a list, so the depth is bounded by memory alone. Ends of
+    long readings are kept: what a choice reads again costs at most ``KEPT`` parts.
+    """
+    open_: list[tuple] = []
+    ends: dict[tuple, int] = {}
+    parts, began, call, read, got = 0, 0, (rule, p), rule(s, p).send, None
+    while True:
+        got = read(got)
+        parts += 1
+        if type(got) is tuple:
+            end = ends.get(got)
+            if end is None:
+                open_.append((read, call, began))
+                began, call, read = parts, got, got[0](s, got[1]).send
+            got = end
+            continue
+        if parts - began > KEPT:
+            ends[call] = got
+        if not open_:
+            return got
+        read, call, began = open_.pop()
