@@ -54,3 +54,18 @@ def test_pairs_equal_brute_force_in_cells(spark, monkeypatch):
         got = [(r.from_id, r.to_id, r.confidence) for r in similarity.similar_pairs(spark.createDataFrame(rows, "symbol_id string, lanes array<bigint>, repo string"), within=within).collect()]
         same = {(a, b): sum(x == y for x, y in zip(la, lb)) / 64 for a, la, ra in rows for b, lb, rb in rows if a < b and (not within or ra == rb)}
         assert sorted(got) == sorted((*p, int(s * 100 + 0.5) / 100) for p, s in same.items() if s >= 0.82) and len(got) > 10
+
+
+def test_large_and_small_groups_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    bases = [[rng.randrange(-(2**63), 2**63) for _ in range(64)] for _ in range(3)]
+    rows = [(f"é{n}" if n % 5 == 0 else f"s{n}", [x if rng.random() > 0.09 else rng.randrange(2**40) for x in bases[n % 3]], "ab"[n % 2]) for n in range(90)]
+    same = {(a, b): sum(x == y for x, y in zip(la, lb)) / 64 for a, la, ra in rows for b, lb, rb in rows if a < b and ra == rb}
+    want = sorted((*p, int(s * 100 + 0.5) / 100) for p, s in same.items() if s >= 0.82)
+    df = spark.createDataFrame(rows, "symbol_id string, lanes array<bigint>, repo string")
+    for few, tile, cell in ((0, 4, 4096), (0, 3, 11), (4096, 512, 4096)):
+        for name, value in (("FEW", few), ("TILE", tile), ("CELL", cell), ("OUT", 50)):
+            monkeypatch.setattr(similarity, name, value)
+        got = similarity.similar_pairs(df, within=["repo"])
+        assert sorted((r.from_id, r.to_id, r.confidence) for r in got.collect()) == want and len(want) > 100
+        assert "FlatMapGroupsInArrow" not in got._jdf.queryExecution().toString()  # one call for many groups
